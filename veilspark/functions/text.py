@@ -54,10 +54,14 @@ def _cut(marked: Sql) -> Sql:
     return X.aggregate(X.split(marked, f"[{OPEN}{CLOSE}]", -1), start, step, lambda s: s["out"])
 
 
-@F.arrow_udf("string")
-def normalize_text(text: pa.Array) -> pa.Array:
+def normalize_text(text: Column) -> Column:
     """NFKC; null gives an empty text."""
-    return pa.array([unicodedata.normalize("NFKC", t) if t else "" for t in text.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def nfkc(texts: pa.Array) -> pa.Array:
+        return pa.array([unicodedata.normalize("NFKC", t) if t else "" for t in texts.to_pylist()], pa.string())
+
+    return nfkc(text)
 
 
 def trimmed(text: Sql) -> Sql:

@@ -59,6 +59,15 @@ def redact_text(spark: SparkSession, text: str, **parts) -> dict:
     return row.asDict(recursive=True)
 
 
+def each(rows: DataFrame, array: str, key: str, name: str = "d") -> DataFrame:
+    """(key, name): a row for each element.
+
+    An inner explode would make Spark infer a filter on the array's size, which
+    moves below the steps that make the array and has them run twice.
+    """
+    return rows.select(key, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def explode_spans(done: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each span."""
-    return done.select(key, F.explode("spans").alias("s")).select(key, "s.*")
+    return each(done, "spans", key, "s").select(key, "s.*")
