@@ -84,6 +84,10 @@ def business_reference(lowered: Sql, span: Sql, pii_type: str, confidence: float
 _WIDE = r"[\u017f\u212a\u0130\u0131\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\p{Nd}&&[^0-9]]"
 
 
+#: Six digits with what the rules allow between them; one pass rules out a third of the rules for most texts.
+_SIX = r"[0-9](?:[-\s()]*+[0-9]){5}"
+
+
 def wide(text: Sql) -> Sql:
     """Whether Unicode-aware rules may match ``text`` where their ASCII forms don't."""
     return (X.octet_length(text) > X.length(text)) & text.rlike(_WIDE)
@@ -107,7 +111,10 @@ def scan_rule(text: Sql, lowered: Sql, rule: ScanRule, order: int = 0, detector:
     found = T.spans(text, rule.before, rule.payload, rule.after)
     out = X.transform(X.filter(found, lambda s: short_enough(s) & not_allowed(s) & keep(s)), lambda s: detection(s, rule.pii_type, rule.confidence, detector, rule.id, order))
     # the ASCII form matches at least where the whole rule does, and is several times as fast
-    some = text.rlike(f"(?i)(?:{rule.before})(?:{rule.payload})(?:{rule.after})") | X.col("__wide") if gated else X.lit(True)
+    some = X.lit(True)
+    if gated:
+        some = text.rlike(f"(?i)(?:{rule.before})(?:{rule.payload})(?:{rule.after})")
+        some = (X.col("__six") & some if rule.six_digits else some) | X.col("__wide")
     need = rule.need or tuple(k.lower() for k in rule.keywords)
     return X.when(_any(lowered, need) & some if need else some, out).otherwise(empty())
 
@@ -296,6 +303,6 @@ def detect(docs: DataFrame, detectors: dict[str, Detector] | None = None, text:
     found = detectors if detectors is not None else BUILT_IN
     names = sorted(found, key=lambda n: DETECTORS.index(n) if n in DETECTORS else len(DETECTORS))
     raw = docs.withColumn("__text", T.unmarked(X.col(text)).column())
-    raw = raw.withColumns({"__low": F.expr("lower(__text)"), "__wide": wide(X.col("__text")).column()})
+    raw = raw.withColumns({"__low": F.expr("lower(__text)"), "__wide": wide(X.col("__text")).column(), "__six": X.col("__text").rlike(_SIX).column()})
     each = [first_of_each(X.coalesce(X.col(f), empty()) if isinstance(f := found[n], str) else f(X.col("__text"), X.col("__low"))) for n in names]
-    return raw.withColumn(out, (X.concat(*each) if each else empty()).column()).drop("__text", "__low", "__wide")
+    return raw.withColumn(out, (X.concat(*each) if each else empty()).column()).drop("__text", "__low", "__wide", "__six")

@@ -135,7 +135,8 @@ def add_features(docs: DataFrame, text: str = "text", spans: str = "spans", out:
     """``docs`` with ``out``: an array of one vector for each span."""
     col = X.col(spans)
     ready = docs.withColumn("__sentences", T.sentence_boundaries(F.col(text)))
-    each = X.transform(col, lambda s, i: span_features(X.coalesce(X.col(text), ""), col, X.col("__sentences"), s, i))
+    # bound outside the lambda: Spark can't extract a Python function from a lambda's body
+    each = T.let(X.col("__sentences"), lambda cuts: X.transform(col, lambda s, i: span_features(X.coalesce(X.col(text), ""), col, cuts, s, i)))
     return ready.withColumn(out, each.column()).drop("__sentences")
 
 

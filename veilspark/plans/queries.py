@@ -21,6 +21,7 @@ from ..operators import evaluate as E
 from ..operators import policy as P
 from ..operators import severity as S
 from ..operators.fusion import fuse
+from ..sources.session import spread
 from .pipeline import RedactionPipeline, each, explode_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def rules_detector(*ids: str) -> dict:

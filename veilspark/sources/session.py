@@ -7,9 +7,11 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a table that may be moved for the sake of parallelism.
+SMALL = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +26,20 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are so few and small that some cores would have no row group to read.
+
+    A large table is read as it lies: it has more row groups than there are
+    cores, and moving its texts would cost more than it gains.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores or not files:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(cores) if size < SMALL else df
