@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..functions.expr import Sql, X
@@ -153,16 +154,18 @@ def add_model_severity(docs: DataFrame, model, text: str = "text", spans: str =
     weights = np.array([LABEL_WEIGHTS.get(c, OTHER_WEIGHT) for c in classes])
     kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64()), ("probs", pa.map_(pa.string(), pa.float64()))]))
 
-    @F.arrow_udf("array<struct<label:string,score:double,probs:map<string,double>>>")
-    def predict(rows: pa.Array) -> pa.Array:
-        out = []
-        for own in rows.to_pylist():
-            p = np.asarray(model.predict_proba(np.array(own))) if own else np.zeros((0, len(classes)))
-            out.append([{"label": classes[int(q.argmax())], "score": float(q @ weights), "probs": list(zip(classes, q.tolist()))} for q in p])
-        return pa.array(out, kind)
+    def predict(batches):
+        for batch in batches:
+            out = []
+            for own in batch.column("__features").to_pylist():
+                p = np.asarray(model.predict_proba(np.array(own))) if own else np.zeros((0, len(classes)))
+                out.append([{"label": classes[int(q.argmax())], "score": float(q @ weights), "probs": list(zip(classes, q.tolist()))} for q in p])
+            yield batch.append_column("__severity", pa.array(out, kind))
 
     fields = [f.name for f in docs.schema[spans].dataType.elementType if f.name not in ("severity_score", "severity_label", "severity_probs")]
-    scored = add_features(docs, text, spans, "__features").withColumn("__severity", predict("__features"))
+    ready = add_features(docs, text, spans, "__features")
+    schema = T_.StructType([*ready.schema.fields, T_.StructField("__severity", T_._parse_datatype_string("array<struct<label:string,score:double,probs:map<string,double>>>"))])
+    scored = ready.mapInArrow(predict, schema)
     joined = X.zip_with(X.col(spans), X.col("__severity"), lambda s, m: X.struct(*[s[f].alias(f) for f in fields], m["score"].alias("severity_score"), m["label"].alias("severity_label"), m["probs"].alias("severity_probs")))
     from .policy import document_score, severity_label
 
