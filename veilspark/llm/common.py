@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import spread
+
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -52,8 +54,18 @@ def _clean() -> None:
             return
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "__"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:

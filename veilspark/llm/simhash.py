@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codes import buffers, chunks, mix, plain, words
-from .common import cut
+from .common import cut, fresh
 
 BITS = 256
 RADIUS = 44
@@ -263,13 +263,16 @@ def drop_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -
     found = cut(groups(docs, radius, recall), "groups")
     key = ["doc_id", "text_hash"]
     away = ~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
-    gone = found.where(away).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    twice = found.where(~away).groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
+    d, h, twin, number = fresh(docs, "d", "h", "twin", "number")
+    named = [F.col("doc_id").alias(d), F.col("text_hash").alias(h)]
+    gone = found.where(away).select(*named).distinct()
+    twice = found.where(~away).groupBy(*key).count().where("count > 1").select(*named)
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (text_hash == F.col(h))
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     left = docs.join(small(gone), same, "left_anti")
     if twice.isEmpty():
         return left
-    one = Window.partitionBy("__same", "doc_id").orderBy(F.lit(1))
-    again = left.join(small(twice), same, "left_semi").withColumn("__same", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    one = Window.partitionBy(twin, "doc_id").orderBy(F.lit(1))
+    again = left.join(small(twice), same, "left_semi").withColumn(twin, text_hash).withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*docs.columns)
     return left.join(small(twice), same, "left_anti").unionByName(again)
