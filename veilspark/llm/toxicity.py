@@ -30,9 +30,11 @@ from .common import labelled
 BITS = 18
 FACTORS = 8
 EPOCHS = 5
-#: A term needs this share of the fitted rows (at least 2) to count, and L1 a row (at least 1) of summed gradient to leave 0.
+#: A term needs this share of the fitted rows (at least 2) to count.
 MIN_DF = 3e-4
-L1 = 1.25e-3
+#: A term leaves 0 when its summed gradient passes both L1 and so many roots of its summed squares: chance alone then hardly reaches it, however many rows or terms there are.
+L1 = 12.0
+SIGMAS = 4.0
 #: Labelled rows used for the fit, at most about so many.
 SAMPLE = 20_000
 
@@ -65,7 +67,7 @@ def logits(model: dict, buckets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return model["w0"] + _sums(w, off) + 0.5 * (s * s - _sums(v * v, off)).sum(axis=1)
 
 
-def fit(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, held: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, min_df: float = MIN_DF, rate: float = 0.1, l1: float = L1) -> dict:
+def fit(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, held: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, min_df: float = MIN_DF, rate: float = 0.1, l1: float = L1, sigmas: float = SIGMAS) -> dict:
     """The machine of the rows that aren't held; the threshold of best F1 on those that are.
 
     w follows FTRL-proximal, so a term stays at 0 until its summed gradient
@@ -74,7 +76,6 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, held: np.ndarra
     rng = np.random.default_rng(1)
     df = np.bincount(buckets, minlength=1 << BITS)
     known = np.flatnonzero(df >= max(2, min_df * len(y)))
-    l1 = max(1.0, l1 * len(y))
     slot = np.full(1 << BITS, -1, np.int32)
     slot[known] = np.arange(len(known))
     n = len(known)
@@ -104,7 +105,8 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, y: np.ndarray, held: np.ndarra
             more = np.sqrt(nw[uniq] + g * g)
             z[uniq] += g - (more - np.sqrt(nw[uniq])) / rate * w[uniq]
             nw[uniq] += g * g
-            w[uniq] = np.where(np.abs(z[uniq]) <= l1, 0, -(z[uniq] - np.sign(z[uniq]) * l1) / ((1 + more) / rate))
+            floor = np.maximum(l1, sigmas * np.sqrt(nw[uniq]))
+            w[uniq] = np.where(np.abs(z[uniq]) <= floor, 0, -(z[uniq] - np.sign(z[uniq]) * floor) / ((1 + more) / rate))
             if len(jv):
                 uv, iv = np.unique(jv, return_inverse=True)
                 d = err[dv][:, None] * (sums[dv] - vj)
