@@ -269,6 +269,14 @@ def test_html_pages(spark):
     assert html_blocks.extract_html(pages).where("n_content > 0").count() > 0.9 * pages.where("length(html) > 0").count()
 
 
+def test_html_odd_input(spark):
+    rows = [(1, None, "u"), (2, "", None), (None, "<p>one two three four five six</p>", None), (None, None, None), (3, "<p>same words</p>", "u"), (3, "<p>same words</p>", "u"), (4, "<div>" + "word " * 60_000, "u"), (5, "<a <b <c", "u")]
+    pages = spark.createDataFrame([r + ("x", "y") for r in rows], "page_id bigint, html string, url string, text string, n_blocks string")
+    got = html_blocks.extract_html(pages).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows) and all(r.text == "" for r in got if r.page_id in (1, 2))
+    assert max(len(r.text) for r in got) > 250_000 and html_blocks.extract_html(pages.limit(0)).count() == 0
+
+
 # 8 ---------------------------------------------------------------------------
 
 
