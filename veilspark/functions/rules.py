@@ -146,7 +146,7 @@ BUSINESS_TYPES = _w("BANK_ACCOUNT|CARD_NUMBER|CUSTOMER_ID|IBAN|SORT_CODE")
 DETECTORS = ("regex", "ner", "ml_ner", "embedding", "domain_heuristic", "ml_token")
 WEIGHTS = dict(zip(DETECTORS, (1.0, 0.9, 0.9, 0.7, 0.8, 0.85)))
 
-LABELS = ("LOW", "MEDIUM", "HIGH", "VERY_HIGH")
+LABELS = _w("LOW|MEDIUM|HIGH|VERY_HIGH")
 #: (label, lowest, highest), both inclusive, the lower label first.
 THRESHOLDS = (("LOW", 0.0, 0.25), ("MEDIUM", 0.25, 0.6), ("HIGH", 0.6, 0.85), ("VERY_HIGH", 0.85, 1.0))
 
@@ -204,8 +204,8 @@ PLACEHOLDER = {t: f"<{t}>" for t in (*CATEGORY, "DATE")} | {
 }
 
 FAMILIES = (
-    frozenset({"ADDRESS", "LOCATION", "LOC", "GPE", "POSTCODE"}),
-    frozenset({"BANK_ACCOUNT", "CARD_NUMBER", "SORT_CODE", "CUSTOMER_ID", "GOV_ID", "GENERIC_NUMBER", "PHONE"}),
+    frozenset(_w("ADDRESS|GPE|LOC|LOCATION|POSTCODE")),
+    frozenset(_w("BANK_ACCOUNT|CARD_NUMBER|CUSTOMER_ID|GENERIC_NUMBER|GOV_ID|PHONE|SORT_CODE")),
 )
 FINANCIAL = frozenset(_w("BANK_ACCOUNT|CARD_NUMBER|CUSTOMER_ID|IBAN|SORT_CODE|TRANSACTION_ID"))
 CREDENTIALS = frozenset(_w("API_KEY|CREDENTIAL|PASSWORD|PIN|SESSION_ID|TOKEN"))

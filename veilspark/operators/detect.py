@@ -179,8 +179,8 @@ def _found(span: Sql, pii_type: Sql, confidence: Sql, detector: str) -> Sql:
     )
 
 
-ENTITY_TYPES = {"PERSON": "PERSON", "GPE": "LOCATION", "LOC": "LOCATION", "DATE": "DATE", "MONEY": "MONEY"}
-_TOOLS = ("git", "repo", "github", "bitbucket")
+ENTITY_TYPES = {t: t for t in ("DATE", "MONEY", "PERSON")} | dict.fromkeys(("LOC", "GPE"), "LOCATION")
+_TOOLS = tuple("bitbucket git github repo".split())
 
 
 def entities(text: Sql, found: Sql, confidence: float = 0.75, detector: str = "ner") -> Sql:

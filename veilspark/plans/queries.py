@@ -77,7 +77,7 @@ def rows_sql(inner: str, key: str = "doc_id") -> str:
 
 
 BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL_OK = "lower(split_part(text, '@', 2)) NOT IN ('noreply.example.com', 'noreply.example.co.uk', 'support.example.com', 'example.com', 'localhost')"
+EMAIL_OK = "lower(split_part(text, '@', 2)) NOT IN ('example.com', 'localhost', 'support.example.com', 'noreply.example.co.uk', 'noreply.example.com')"
 IPV4_OK = f"regexp_full_match(text, '({BYTE}\\.){{3}}{BYTE}')"
 SECRET_OK = "lower(text) NOT IN ('password', 'passcode') AND NOT regexp_full_match(text, '\\d+')"
 PHONE_OK = "len(regexp_replace(text, '\\D', '', 'g')) BETWEEN 10 AND 15"
