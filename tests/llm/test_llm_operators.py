@@ -249,6 +249,17 @@ def test_lm_gradients_and_windows():
         assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
+def test_lm_trains_on_every_span(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(8)]
+    model = language_model.train(docs_of(spark, list(enumerate(texts))))
+    start = language_model.initial()["e"]
+    used = np.concatenate([np.setdiff1d(range(200), [127, 199]) + 200 * i for i in range(8)])  # the last word of a span is never an input
+    from veilspark.llm.codes import words
+
+    ids = language_model.token_ids(words(pa.array(texts)).code[used], model["vocab"])
+    assert (model["p"]["e"][ids] != start[ids]).any(axis=1).all()
+
+
 def test_lm_beats_uniform_and_reports_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     r = language_model.lm_scores(docs).toPandas()

@@ -4,9 +4,8 @@ Vocabulary: the words of all documents are counted, and the most frequent ones,
 by rank, get ids; other words fall into BUCKETS hashed ids.  Id i belongs to
 class i // CLASS_SIZE, and P(word) = P(class | state) P(word | class, state).
 
-Training: every document is cut into spans of SPAN words; a span is used with
-probability RATE by a hash of its words and place, so what is gathered follows
-the corpus.  Within a span the state is carried from window to window of WINDOW
+Training: every document is cut into spans of SPAN words, and every span is
+used; a hash of its words and place deals it to a partition.  Within a span the state is carried from window to window of WINDOW
 words, and gradients stop at a window's start (truncated backpropagation, in
 numpy).  Partitions train from the same start and their weights are averaged,
 weighted by words, in ROUNDS rounds; averaging is done in Spark by slices of the
@@ -23,6 +22,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
 import numpy as np
@@ -40,7 +40,6 @@ BUCKETS = 63
 START = VOCABULARY - 1
 EMBED, HIDDEN = 16, 24
 WINDOW, SPAN = 32, 128
-RATE = 1 / 32
 ROUNDS = 2
 #: Spans that one task trains on in a round.
 TASK_SPANS = 16_384
@@ -51,46 +50,51 @@ SLICES = 16
 # vocabulary ------------------------------------------------------------------
 
 
-def gather(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """One pass over the corpus: (code, n) rows count all words, (codes, roll) rows are the spans for training."""
-    schema = "code bigint, n bigint, codes binary, roll bigint"
-    arrow = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("roll", pa.int64())])
-
-    def counted(held):
-        code, n = _merge(held)
-        for at in range(0, len(code), 100_000):
-            k = len(code[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(code[at : at + k].view(np.int64)), pa.array(n[at : at + k], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=arrow)
+def gather(docs: DataFrame) -> DataFrame:
+    """(code, n) rows that together count all words."""
+    arrow = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        for batch in batches:
+            for _, part in chunks(batch.column(0), 4 << 20):
+                held.append(np.unique(words(part).code, return_counts=True))
+                size += len(held[-1][0])
+            if size > 2_000_000:
+                held = [_merge(held)]
+                size = len(held[0][0])
+        if held:
+            code, n = _merge(held)
+            for at in range(0, len(code), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000], pa.int64())], schema=arrow)
+
+    return docs.select("text").mapInArrow(run, "code bigint, n bigint")
+
+
+def spans(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(ids, roll) of every span of every document; roll is a hash of its words and place."""
+    arrow = pa.schema([("ids", pa.binary()), ("roll", pa.int64())])
+
+    def run(batches):
         for batch in batches:
             for _, part in chunks(batch.column(0), 4 << 20):
                 w = words(part)
                 if not len(w.code):
                     continue
-                held.append(np.unique(w.code, return_counts=True))
-                size += len(held[-1][0])
+                ids = token_ids(w.code, vocab)
                 place = np.arange(len(w.code)) - w.first[w.doc]
                 start = np.flatnonzero(place % SPAN == 0)
                 roll = mix(np.add.reduceat(w.code, start) + place[start].astype(np.uint64))
                 end = np.append(start[1:], len(w.code))
-                pick = np.flatnonzero(roll < np.uint64(int(rate * (1 << 63)) * 2 - 1))
-                k = len(pick)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([w.code[start[i] : end[i]].tobytes() for i in pick], pa.binary()), pa.array(roll[pick].view(np.int64))], schema=arrow)
-            if size > 2_000_000:
-                held = [_merge(held)]
-                size = len(held[0][0])
-        if held:
-            yield from counted(held)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i:j].tobytes() for i, j in zip(start, end)], pa.binary()), pa.array(roll.view(np.int64))], schema=arrow)
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "ids binary, roll bigint")
 
 
 def vocabulary(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted word codes, their ids) of the most frequent words of all documents."""
-    top = gathered.where("codes is null").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(VOCABULARY - BUCKETS - 1).collect()
+    top = gathered.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(VOCABULARY - BUCKETS - 1).collect()
     code = np.array([r["code"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(code)
     return code[order], np.arange(len(code))[order]
@@ -114,6 +118,15 @@ def token_ids(code: np.ndarray, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return out
 
 
+def _keep_heap() -> None:
+    """Freed arrays stay with the process (glibc): else each window faults its pages in again, a third of the time."""
+    try:
+        for option, value in ((-3, 32 << 20), (-1, 64 << 20), (-2, 16 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_TOP_PAD
+            ctypes.CDLL(None).mallopt(option, value)
+    except (AttributeError, OSError):
+        pass
+
+
 # network ---------------------------------------------------------------------
 
 SHAPES = {"e": (VOCABULARY, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, HIDDEN, CLASS_SIZE), "bo": (CLASSES, CLASS_SIZE)}
@@ -198,16 +211,14 @@ def score(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Gradients of the mean loss of a window (steps, lanes), its last state and summed loss."""
     steps, lanes = x.shape
-    emb = p["e"][x]
-    xp = emb @ p["wx"] + p["b"]
-    kept, states = [], []
+    xp = (p["e"] @ p["wx"] + p["b"])[x]
+    kept = []
     for t in range(steps):
-        before = h
-        h, r, z, n, u = _step(xp[t], before, p["wh"])
-        kept.append((before, r, z, n, u))
-        states.append(h)
+        kept.append((h, *_step(xp[t], h, p["wh"])))
+        h = kept[-1][1]
+    before, states, r, z, n, u = map(np.array, zip(*kept))
     flat = live.ravel()
-    hs = np.concatenate(states)[flat]
+    hs = states.reshape(-1, HIDDEN)[flat]
     yy = y.ravel()[flat].astype(np.int64)
     c = yy // CLASS_SIZE
     rows = np.arange(len(yy))
@@ -238,22 +249,27 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.nda
     out = np.zeros((steps * lanes, HIDDEN), np.float32)
     out[flat] = dh
     out = out.reshape(steps, lanes, HIDDEN)
-    dxp = np.zeros_like(xp)
+    dxp, du = np.empty_like(xp), np.empty_like(xp)
     carry = np.zeros((lanes, HIDDEN), np.float32)
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
+    back = np.ascontiguousarray(p["wh"].T)
     for t in range(steps - 1, -1, -1):
-        before, r, z, n, u = kept[t]
         d = out[t] + carry
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        dxp[t] = np.concatenate([dr, dz, dn], axis=1)
-        du = np.concatenate([dr, dz, dn * r], axis=1)
-        g["wh"] += before.T @ du
-        carry = d * z + du @ p["wh"].T
-    flatx = dxp.reshape(-1, 3 * HIDDEN)
-    g["b"] = flatx.sum(axis=0)
-    g["wx"] = emb.reshape(-1, EMBED).T @ flatx
-    np.add.at(g["e"], x.ravel(), flatx @ p["wx"].T)
+        dn = d * by_n[t]
+        np.multiply(dn, by_r[t], out=du[t, :, :HIDDEN])
+        np.multiply(d, by_z[t], out=du[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
+        dxp[t, :, 2 * HIDDEN :] = dn
+        carry = d * z[t] + du[t] @ back
+    dxp[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+    g["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    order = np.argsort(x, axis=None, kind="stable")
+    at = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    at, dx = at[first], np.add.reduceat(dxp.reshape(-1, 3 * HIDDEN)[order], first)
+    g["b"] = dx.sum(axis=0)
+    g["wx"] = p["e"][at].T @ dx
+    g["e"][at] = dx @ p["wx"].T
     return g, h, float(loss)
 
 
@@ -285,11 +301,10 @@ def fit_spans(p: dict, spans: list[np.ndarray], rate: float = 0.08, seed: int =
 # Spark -----------------------------------------------------------------------
 
 
-def train(docs: DataFrame, rate: float = RATE, rounds: int = ROUNDS) -> dict:
+def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
     """{"vocab", "p"}: the model of the corpus."""
-    gathered = cut(gather(docs, rate), "gathered")
-    vocab = vocabulary(gathered)
-    data = gathered.where("codes is not null").select("codes", "roll")
+    vocab = vocabulary(gather(docs))
+    data = cut(spans(docs, vocab), "gathered")
     data = cut(data.repartition(max(1, -(-data.count() // TASK_SPANS)), "roll"), "spans")
     p = initial()
     names = list(SHAPES)
@@ -297,9 +312,10 @@ def train(docs: DataFrame, rate: float = RATE, rounds: int = ROUNDS) -> dict:
         shared = docs.sparkSession.sparkContext.broadcast(p)
 
         def run(batches, shared=shared, number=number):
-            own = [(r, token_ids(np.frombuffer(s, np.uint64), vocab)) for b in batches for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            own = [(r, np.frombuffer(s, np.int16)) for b in batches for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if not own:
                 return
+            _keep_heap()
             new, seen, _ = fit_spans(shared.value, [s for _, s in sorted(own, key=lambda x: x[0])], rate=0.08 / (1 + number), seed=number)
             for i, part in enumerate(np.array_split(np.concatenate([new[k].ravel() for k in names]), SLICES)):
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "w": pa.array([part.tobytes()], pa.binary()), "n": pa.array([seen], pa.int64())})
@@ -334,6 +350,7 @@ def lm_scores(docs: DataFrame, model: dict | None = None) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("perplexity", pa.float64())])
 
     def run(batches):
+        _keep_heap()
         model = pickle.loads(shared.value)
         for batch in batches:
             n, ll = document_scores(batch.column(1), model)
