@@ -254,12 +254,27 @@ def test_lm_trains_on_every_span(spark):
     model = language_model.train(docs_of(spark, list(enumerate(texts))))
     start = language_model.initial()["e"]
     used = np.concatenate([np.setdiff1d(range(200), [127, 199]) + 200 * i for i in range(8)])  # the last word of a span is never an input
-    from veilspark.llm.codes import words
-
     ids = language_model.token_ids(words(pa.array(texts)).code[used], model["vocab"])
     assert (model["p"]["e"][ids] != start[ids]).any(axis=1).all()
 
 
+def test_lm_scores_each_word(spark):
+    """Words of one id aren't alike: P(word | id) sums to 1 over listed words, and falls for unseen strings."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(1984)]
+    tail = [f"t{i}" for i in range(300)]
+    texts = [" ".join(common)] * 3 + [" ".join(rng.choices(tail, k=400)) for _ in range(4)] + [" ".join(tail)]
+    model = language_model.train(docs_of(spark, list(enumerate(texts))))
+    ids, inside = language_model.word_ids(words(pa.array([" ".join(common + tail)])), model["vocab"])
+    for k in set(ids):
+        assert np.exp(inside[ids == k]).sum() == pytest.approx(1, rel=1e-4)
+    assert np.exp(model["vocab"]["bytes"]).sum(axis=1) == pytest.approx(1)
+    _, unseen = language_model.document_scores(pa.array(["t1x", "qzjxkvqwzzkqjx" * 3]), model)
+    assert unseen[1] < unseen[0] - 20
+    frequent, rare = language_model.document_scores(pa.array(["c0 " * 50, "qzjxkv " * 50]), model)[1]
+    assert rare < frequent
+
+
 def test_lm_beats_uniform_and_reports_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     r = language_model.lm_scores(docs).toPandas()

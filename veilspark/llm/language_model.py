@@ -1,8 +1,12 @@
 """Language-model scoring: a gated recurrent network with class-factored softmax.
 
 Vocabulary: the words of all documents are counted, and the most frequent ones,
-by rank, get ids; other words fall into BUCKETS hashed ids.  Id i belongs to
-class i // CLASS_SIZE, and P(word) = P(class | state) P(word | class, state).
+by rank, get ids of their own.  The LISTED next ones share BUCKETS - 1 hashed
+ids, and the id UNLISTED stands for all others.  Id i belongs to class
+i // CLASS_SIZE, and P(word) = P(class | state) P(id | class, state) P(word | id):
+1 for a word with its own id, the word's share of its bucket's counts for a
+listed word, and for any other a bigram model of bytes, which sums to 1 over all
+strings.  So each word is scored as that word, and all words' sum is at most 1.
 
 Training: every document is cut into spans of SPAN words, and every span is
 used; a hash of its words and place deals it to a partition.  Within a span the state is carried from window to window of WINDOW
@@ -31,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codes import chunks, mix, words
+from .codes import Words, chunks, mix, words
 from .common import cut
 
 CLASSES, CLASS_SIZE = 32, 64
 VOCABULARY = CLASSES * CLASS_SIZE
 BUCKETS = 63
 START = VOCABULARY - 1
+UNLISTED = START - 1
+#: Words, after those with ids of their own, whose counts are kept.
+LISTED = 1 << 20
+#: Byte of a word's edges in the model of bytes.
+EDGE = 256
 EMBED, HIDDEN = 16, 24
 WINDOW, SPAN = 32, 128
 ROUNDS = 2
@@ -51,29 +60,49 @@ SLICES = 16
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """(code, n) rows that together count all words."""
-    arrow = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+    """(kind, code, n) rows that together count all words (0) and the byte pairs of the distinct words of each chunk (1)."""
+    arrow = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        pairs = np.zeros((EDGE + 1) ** 2, np.int64)
         for batch in batches:
             for _, part in chunks(batch.column(0), 4 << 20):
-                held.append(np.unique(words(part).code, return_counts=True))
-                size += len(held[-1][0])
+                w = words(part)
+                code, at, n = np.unique(w.code, return_index=True, return_counts=True)
+                held.append((code, n))
+                pairs += _pairs(w, at)
+                size += len(code)
             if size > 2_000_000:
                 held = [_merge(held)]
                 size = len(held[0][0])
         if held:
             code, n = _merge(held)
             for at in range(0, len(code), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000], pa.int64())], schema=arrow)
+                k = len(code[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(code[at : at + k].view(np.int64)), pa.array(n[at : at + k], pa.int64())], schema=arrow)
+            at = np.flatnonzero(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(pairs[at])], schema=arrow)
+
+    return docs.select("text").mapInArrow(run, "kind int, code bigint, n bigint")
 
-    return docs.select("text").mapInArrow(run, "code bigint, n bigint")
 
+def _pairs(w: Words, at: np.ndarray) -> np.ndarray:
+    """Counts of the byte pairs of the words numbered ``at``, edges included, flat."""
+    side = EDGE + 1
+    inside = np.zeros(len(w.data) + 1, np.int64)
+    np.add.at(inside, w.start[at] + 1, 1)
+    np.add.at(inside, w.end[at], -1)
+    second = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    data = w.data.astype(np.int64)
+    keys = [data[second - 1] * side + data[second], EDGE * side + data[w.start[at]], data[w.end[at] - 1] * side + EDGE]
+    return np.bincount(np.concatenate(keys), minlength=side * side)
 
-def spans(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+
+def spans(docs: DataFrame, vocab: dict) -> DataFrame:
     """(ids, roll) of every span of every document; roll is a hash of its words and place."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
     arrow = pa.schema([("ids", pa.binary()), ("roll", pa.int64())])
 
     def run(batches):
@@ -82,7 +111,7 @@ def spans(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 w = words(part)
                 if not len(w.code):
                     continue
-                ids = token_ids(w.code, vocab)
+                ids = token_ids(w.code, shared.value)
                 place = np.arange(len(w.code)) - w.first[w.doc]
                 start = np.flatnonzero(place % SPAN == 0)
                 roll = mix(np.add.reduceat(w.code, start) + place[start].astype(np.uint64))
@@ -92,12 +121,25 @@ def spans(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "ids binary, roll bigint")
 
 
-def vocabulary(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted word codes, their ids) of the most frequent words of all documents."""
-    top = gathered.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(VOCABULARY - BUCKETS - 1).collect()
-    code = np.array([r["code"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(code)
-    return code[order], np.arange(len(code))[order]
+def vocabulary(gathered: DataFrame) -> dict:
+    """{"own": (sorted codes, ids) of the most frequent words of all documents, "listed": (sorted codes, log P(word | bucket)) of the next, "bytes": log P(byte | byte before)}."""
+    counts = cut(gathered.groupBy("kind", "code").agg(F.sum("n").alias("n")), "counts")
+    n_own = VOCABULARY - BUCKETS - 1
+    top = counts.where("kind = 0").orderBy(F.desc("n"), "code").limit(n_own + LISTED).select("code", "n").toArrow()
+    code, n = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(code[:n_own])
+    own = code[:n_own][order], np.arange(len(order))[order]
+    rest = np.argsort(code[n_own:])
+    code, n = code[n_own:][rest], n[n_own:][rest]
+    bucket = (code % np.uint64(BUCKETS - 1)).astype(np.int64)
+    listed = code, np.log(n / np.bincount(bucket, n, BUCKETS)[bucket]).astype(np.float32)
+    pairs = counts.where("kind = 1").select("code", "n").toArrow()
+    table = np.full((EDGE + 1) ** 2, 0.5)
+    table[pairs["code"].to_numpy()] += pairs["n"].to_numpy()
+    table = table.reshape(EDGE + 1, EDGE + 1)
+    table[EDGE, EDGE] = 0  # no word is empty
+    with np.errstate(divide="ignore"):
+        return {"own": own, "listed": listed, "bytes": np.log(table / table.sum(axis=1, keepdims=True))}
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +147,46 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
 
 
-def token_ids(code: np.ndarray, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    known, ids = vocab
-    out = (VOCABULARY - 1 - BUCKETS + (code % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int16)
-    if len(known):
-        seen = np.zeros(1 << 16, bool)
-        seen[(known >> np.uint64(48)).astype(np.int64)] = True
-        some = np.flatnonzero(seen[(code >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(known, code[some]), len(known) - 1)
-        same = known[at] == code[some]
-        out[some[same]] = ids[at[same]]
-    return out
+def _find(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which codes are in the sorted ``known``, where there)."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen = np.zeros(1 << 16, bool)
+    seen[(known >> np.uint64(48)).astype(np.int64)] = True
+    some = np.flatnonzero(seen[(code >> np.uint64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(known, code[some]), len(known) - 1)
+    same = known[at] == code[some]
+    return some[same], at[same]
+
+
+def token_ids(code: np.ndarray, vocab: dict) -> np.ndarray:
+    return _identified(code, vocab)[0]
+
+
+def _identified(code: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, log P(word | id)); the latter is 0 for unlisted words."""
+    out, inside = np.full(len(code), UNLISTED, np.int16), np.zeros(len(code))
+    which, at = _find(code, vocab["own"][0])
+    out[which] = vocab["own"][1][at]
+    rest = np.flatnonzero(out == UNLISTED)
+    which, at = _find(code[rest], vocab["listed"][0])
+    rest = rest[which]
+    out[rest] = VOCABULARY - 1 - BUCKETS + (code[rest] % np.uint64(BUCKETS - 1)).astype(np.int16)
+    inside[rest] = vocab["listed"][1][at]
+    return out, inside
+
+
+def word_ids(w: Words, vocab: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, log P(word | id)) of words; of unlisted ones by their bytes."""
+    ids, inside = _identified(w.code, vocab)
+    rest = np.flatnonzero(ids == UNLISTED)
+    if len(rest):
+        logs, data = vocab["bytes"], w.data
+        steps = np.zeros(len(data))
+        steps[1:] = np.cumsum(logs[data[:-1], data[1:]])
+        first, last = w.start[rest], w.end[rest] - 1
+        inside[rest] = logs[EDGE, data[first]] + steps[last] - steps[first] + logs[data[last], EDGE]
+    return ids, inside
 
 
 def _keep_heap() -> None:
@@ -335,13 +406,17 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
 
 def document_scores(text: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(words, log-likelihood) of each text."""
-    ids, counts = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
+    ids, inside, counts = [np.zeros(0, np.int16)], [np.zeros(0)], [np.zeros(0, np.int64)]
     for _, part in chunks(text):
         w = words(part)
-        ids.append(token_ids(w.code, model["vocab"]))
+        each = word_ids(w, model["vocab"])
+        ids.append(each[0])
+        inside.append(each[1])
         counts.append(np.diff(w.first))
     count = np.concatenate(counts)
-    return count, score(model["p"], np.concatenate(ids), np.concatenate([[0], np.cumsum(count)]))
+    first = np.concatenate([[0], np.cumsum(count)])
+    within = np.concatenate([[0], np.cumsum(np.concatenate(inside))])
+    return count, score(model["p"], np.concatenate(ids), first) + within[first[1:]] - within[first[:-1]]
 
 
 def lm_scores(docs: DataFrame, model: dict | None = None) -> DataFrame:
