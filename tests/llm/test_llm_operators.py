@@ -139,6 +139,20 @@ def test_license_brute(spark):
 # 4, 9 ------------------------------------------------------------------------
 
 
+def test_every_license_line(spark):
+    """The bare notice too, in any place, and each license line of the tables."""
+    rng = random.Random(7)
+    fill = [f"word{i}" for i in range(500)]
+    texts = ["All rights reserved.", "© 2020 ACME. all rights reserved"] + [" ".join([*rng.choices(fill, k=rng.randint(0, 60)), "All rights reserved.", *rng.choices(fill, k=rng.randint(0, 60))]) for _ in range(300)]
+    got = licenses.license_scan(docs_of(spark, list(enumerate(texts)))).where("license = 'all-rights-reserved-notice'")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(len(texts)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = {"all-rights-reserved-notice": "all rights reserved", "apache-2.0-short": "licensed under the apache license, version 2.0", "mit-short": "released under the mit license", "gpl-3.0-short": "this work is licensed under the gnu general public license, version 3", "cc-by-nc-4.0": "licensed under cc by-nc 4.0"}
+    found = {(r.doc_id, r.license) for r in licenses.license_scan(docs).collect()}
+    want = {(r.doc_id, k) for r in docs.collect() for k, v in lines.items() if r.text and v in r.text.lower()}
+    assert want and want <= found
+
+
 def test_token_store_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(docs_of(spark, ODD).select("doc_id", "text"))
     enc = tokens.encoding()

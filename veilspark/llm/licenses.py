@@ -8,6 +8,8 @@ BANDS bands of ROWS MinHash values such a pair collides in some band with
 probability 1 - (1 - LEAST**ROWS)**BANDS > 0.998.  Templates that collide with
 a window of a document are candidates of it, and are verified exactly: some run
 of m words must hold at least SHARE of the template's runs of three words.
+A template of one or two runs is less alike even to the shortest windows; every
+document that has one of its runs is its candidate.
 
 Minima of blocks of c/4 words are computed once and shared by the windows that
 overlap them; a narrow pass, nothing is shuffled.
@@ -56,6 +58,7 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "all-rights-reserved-notice": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission",
 }
 
@@ -134,8 +137,13 @@ def scan(text: pa.Array, share: float = SHARE) -> list[tuple[int, int, int, int,
         w = words(part)
         runs = shingles(w, SIZE)
         found = candidates(w, runs, tables)
+        index = hits(refs, runs[0])
+        for at, ref in zip(*index):
+            for o in refs.owner[refs.at[ref] : refs.at[ref + 1]]:
+                if refs.distinct[o] < LEAST * LENGTHS[0]:
+                    found.setdefault(int(runs[1][at]), set()).add(int(o))
         if found:
-            out += [(row + d, o, s, n, t) for d, o, s, n, t in verify(refs, w, found, need, runs, hits(refs, runs[0]))]
+            out += [(row + d, o, s, n, t) for d, o, s, n, t in verify(refs, w, dict(sorted(found.items())), need, runs, index)]
     return out
 
 
