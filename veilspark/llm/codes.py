@@ -2,8 +2,10 @@
 
 An Arrow string column is one UTF-8 buffer with offsets, so a batch of
 documents is read without making a Python object per word.  A word is a maximal
-run of ASCII letters, digits, ``_`` and non-ASCII bytes in lower-cased text; its
-code is a 64-bit polynomial hash of its bytes, mixed.  Nulls are read as "".
+run of ASCII letters, digits, ``_`` and other characters in lower-cased text that
+are no white space or punctuation (SPACES, MARKS); a character of a script
+written without spaces (SOLO) is a word by itself.  The code of a word is a
+64-bit polynomial hash of its bytes, mixed.  Nulls are read as "".
 """
 
 from __future__ import annotations
@@ -23,6 +25,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
+#: Characters outside ASCII, as first and last code points: white space, punctuation, and scripts without spaces.
+SPACES = ((0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+MARKS = ((0xA1, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0x200B, 0x200B), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2BFF), (0x2E00, 0x2E7F), (0x3001, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+SOLO = ((0xE01, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_SPACE, _MARK, _SOLO = 1, 2, 3
+_KIND = np.zeros(0x200000, np.uint8)
+for _k, _ranges in ((_SPACE, SPACES), (_MARK, MARKS), (_SOLO, SOLO)):
+    for _a, _b in _ranges:
+        _KIND[_a : _b + 1] = _k
+
 
 @lru_cache(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +104,45 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES):
         at = to
 
 
+def special(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, width in bytes, kind) of the white space, punctuation and SOLO characters outside ASCII in UTF-8."""
+    at = np.flatnonzero((data >= 0xE0) | (data == 0xC2))
+    if not len(at):
+        return at, at, np.zeros(0, np.uint8)
+    lead = data[at].astype(np.int64)
+    width = np.where(lead >= 0xF0, 4, np.where(lead >= 0xE0, 3, 2))
+    at, lead, width = (x[at + width <= len(data)] for x in (at, lead, width))
+    point = lead & (0x7F >> width)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(width > k)
+        point[more] = (point[more] << 6) | (data[at[more] + k] & 0x3F)
+    kind = _KIND[point]
+    some = np.flatnonzero(kind)
+    return at[some], width[some], kind[some]
+
+
+def _mark(out: np.ndarray, at: np.ndarray, width: np.ndarray, value: bool) -> None:
+    for k in range(4):
+        out[at[width > k] + k] = value
+
+
+def solid(data: np.ndarray, bounds: np.ndarray, of: np.ndarray, apart: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of maximal runs within ``bounds`` of bytes that ``of`` marks, but for characters of the kinds ``apart``; a SOLO character is a run."""
+    n = len(data)
+    inside = of[data]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    at, width, kind = special(data)
+    if len(at):
+        gone = np.isin(kind, apart)
+        _mark(inside, at[gone], width[gone], False)
+        alone = kind == _SOLO
+        edge[at[alone]] = edge[at[alone] + width[alone]] = True
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
 def words(column: pa.Array, lower: bool = True) -> Words:
     column = plain(column)
     if lower:
@@ -101,15 +152,7 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z.astype(np.uint64), z, z, z, np.zeros(len(bounds), np.int64), data, bounds)
-    isw = _WORD[data]
-    edge = np.zeros(n + 1, bool)
-    edge[bounds] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, isw[:-1]
-    start = np.flatnonzero(isw & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, isw[1:]
-    end = np.flatnonzero(isw & (~after | edge[1:])) + 1
+    start, end = solid(data, bounds, _WORD, (_SPACE, _MARK))
     size = 1 << max(12, int(n).bit_length())
     power, inverse = _powers(size)
     h = np.empty(n + 1, np.uint64)
@@ -121,6 +164,22 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     return Words(code, doc, start, end, first, data, bounds)
 
 
+def sql_ranges(*kinds: tuple[tuple[int, int], ...]) -> str:
+    """The ranges of a regular expression's character class."""
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for ranges in kinds for a, b in ranges)
+
+
+def sql_words() -> str:
+    """A regular expression for a word of lower-cased text."""
+    apart = sorted((*SPACES, *MARKS, *SOLO))
+    rest, at = [], 0x80
+    for a, b in apart:
+        if a > at:
+            rest.append((at, a - 1))
+        at = b + 1
+    return f"[{sql_ranges(SOLO)}]|[0-9a-z_{sql_ranges((*rest, (at, 0x10FFFF)))}]+"
+
+
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, doc, first word) of every run of n words within a document.
 

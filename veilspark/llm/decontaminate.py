@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codes import chunks, shingles, words
+from .codes import chunks, shingles, sql_words, words
 from .containment import SIZE, References, hits, references, verify
 
 SHARE = 0.7
@@ -142,7 +142,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bloc
     return docs
 
 
-_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10FFFF}]+')"
+_WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{sql_words()}')"
 
 
 def containment_sql(docs: str, items: str, item: str, share: float) -> str:
