@@ -1,7 +1,8 @@
 """Quality rules: repetition from suffix arrays.
 
-Units of a text are its runs of characters that aren't ASCII white space; a run
-of more than LONG bytes counts by single bytes.  The suffix array of a
+Units of a text are its runs of characters that aren't white space, however
+long; a character of a script written without spaces is a unit by itself, so
+MIN_UNITS counts words there and characters here.  The suffix array of a
 document's units is built by prefix doubling over all documents of a chunk at
 once, in which only suffixes that still share a prefix are sorted again.
 Longest common prefixes come from the ranks of the doubling.  Every LCP
@@ -22,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .codes import _powers, buffers, chunks, mix, plain
+from .codes import _SPACE, _powers, buffers, chunks, mix, plain, solid
 
 MIN_UNITS = 8
-LONG = 64
 MAX_COVERED = 0.3
 MAX_LONGEST = 0.2
 
+_BLACK = np.ones(256, bool)
+_BLACK[[32, *range(9, 14)]] = False
+
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, document, bytes) of each unit."""
@@ -36,19 +39,7 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.zeros(n + 1, bool)
-    edge[bounds] = True
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = solid[:-1], solid[1:]
-    start = np.flatnonzero(solid & (~before | edge[:-1]))
-    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    long = end - start > LONG
-    if long.any():
-        each = np.where(long, end - start, 1)
-        at = np.repeat(start, each) + np.where(np.repeat(long, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each), 0)
-        end = np.where(np.repeat(long, each), at + 1, np.repeat(end, each))
-        start = at
+    start, end = solid(data, bounds, _BLACK, (_SPACE,))
     power, inverse = _powers(1 << max(12, int(n).bit_length()))
     h = np.empty(n + 1, np.uint64)
     h[0] = 0
