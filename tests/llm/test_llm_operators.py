@@ -1,6 +1,8 @@
 """The ten operators: odd input, and each against brute force, a round trip or held-out labels."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -237,6 +239,64 @@ def test_repetition_brute():
         assert got["longest"][i] == longest and got["covered"][i] == pytest.approx(sum(len(u[k]) for k in mark) / max(1, sum(map(len, u))))
 
 
+def units_of(text):
+    """Runs without white space, characters of unspaced scripts apart."""
+    import regex
+
+    return regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+", text)
+
+
+def maximal_repeats(u, least):
+    """Distinct runs of at least ``least`` units that occur twice and can't be longer on either side, by listing all runs."""
+    n, out = len(u), 0
+    for size in range(least, n):
+        places = {}
+        for i in range(n - size + 1):
+            places.setdefault(tuple(u[i : i + size]), []).append(i)
+        for at in places.values():
+            before, after = [u[i - 1] if i else (i,) for i in at], [u[i + size] if i + size < n else (i,) for i in at]
+            out += len(at) > 1 and len(set(before)) > 1 and len(set(after)) > 1
+    return out
+
+
+def test_repetition_units():
+    """Long tokens, links and scripts without spaces against the same brute force."""
+    rng = random.Random(9)
+    filler = " ".join(f"w{i}" for i in range(30))
+    links = [f"https://example.org/some/rather/long/path/of/a/page/with/an/id-{i:06d}.html" for i in range(2)]
+    han = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(120))
+    texts = [f"{filler} {links[0]} {links[1]}", han, han[:40] + han[:40] + han[60:], "日本語 text テスト " * 6, "x" * 5000, "x" * 300 + " y " + "x" * 300, " ".join(rng.choices("ab", k=70)), "a\u3000b\u00a0c " * 9]
+    texts += [" ".join(rng.choices("abc", k=rng.randint(0, 50))) for _ in range(40)]
+    got = repetition.repetition(pa.array(texts), 8)
+    for i, t in enumerate(texts):
+        u = units_of(t)
+        mark, longest = set(), 0
+        for a in range(len(u)):
+            for b in range(a + 1, len(u)):
+                k = 0
+                while b + k < len(u) and u[a + k] == u[b + k]:
+                    k += 1
+                if k >= 8:
+                    longest, mark = max(longest, k), mark | {*range(a, a + k), *range(b, b + k)}
+        size = [len(x.encode()) for x in u]
+        assert got["units"][i] == len(u) and got["longest"][i] == longest and got["covered"][i] == pytest.approx(sum(size[k] for k in mark) / max(1, sum(size))), t[:60]
+        assert got["repeats"][i] == maximal_repeats(u, 8), t[:60]
+    assert got["covered"][0] == got["covered"][1] == 0 and got["covered"][2] > 0.5
+
+
+def test_words_equal_sql():
+    """Words are those of the SQL's regular expression, whatever the script."""
+    import duckdb
+    from veilspark.llm.codes import sql_words
+
+    rng = random.Random(3)
+    marks = ["’", "—", "。", "，", "\u00a0", "\u3000", "¿", "«", "é", "ß", "文", "字", "テ", "ก", "ั", "🙂", "𠀀", "a", "B", "9", "_", " ", "\n", "-", "。", "中", "ﾃ", "ｱ", "！", "Ａ", "ー"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(500)] + [None, ""]
+    want = duckdb.execute(f"SELECT regexp_extract_all(lower(coalesce(x, '')), '{sql_words()}') FROM (SELECT unnest(?) AS x)", [texts]).fetchall()
+    w = words(pa.array(texts))
+    assert [[w.text(i, i + 1) for i in range(w.first[d], w.first[d + 1])] for d in range(len(texts))] == [x for (x,) in want]
+
+
 def test_lm_gradients_and_windows():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in language_model.initial().items()}
@@ -309,6 +369,49 @@ def test_html_pages(spark):
     assert html_blocks.extract_html(pages).where("n_content > 0").count() > 0.9 * pages.where("length(html) > 0").count()
 
 
+def test_html_by_page(spark):
+    """Words kept against those of each page's article."""
+    import re
+
+    def said(html):
+        return re.sub(r"<[^>]*>", " ", html).split()
+
+    f1 = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)
+        if not article:
+            continue
+        want, got = Counter(said(html_blocks.entities.unescape(article[1]))), Counter(html_blocks.extract([r.html])[0][0].split())
+        both = sum((want & got).values())
+        f1.append(2 * both / max(1, sum(want.values()) + sum(got.values())))
+    assert len(f1) > 100 and np.mean(f1) > 0.97 and np.mean(np.array(f1) > 0.9) > 0.95
+
+
+def test_html_tree_on_held_out_rows():
+    """Trees grown without a fifth of TABLE tell that fifth."""
+    table = np.array(html_blocks.TABLE, float)
+    hit = []
+    for k in range(5):
+        held = np.arange(len(table)) % 5 == k
+        tree = html_blocks.grow(table[~held, :-1], table[~held, -1])
+        hit += list(html_blocks.decide(tree, table[held, :-1]) == table[held, -1])
+    assert np.mean(hit) > 0.8
+
+
+def test_html_hostile_pages():
+    """Time is linear in the page; elements that aren't closed lose only their tags."""
+    for part in ("<script ", "<script>", "<!-", "</script ", "<style></styl", "<a <b", "<head>", "&amp", "<svg>", "<script></scripty>"):
+        took = []
+        for n in (100_000, 400_000):
+            t = time.perf_counter()
+            html_blocks.blocks(part * (n // len(part)))
+            took.append(time.perf_counter() - t)
+        assert took[1] < 20 * took[0] + 1, part
+    words_ = "one two three four five six seven eight nine ten eleven twelve"
+    for page in (f"<head><meta><body><p>{words_}</p>", f"<svg/><p>{words_}</p>", f"<script><p>{words_}</p>", f"<head><title>T</title><p>{words_}</p>", f"<p>{words_}<!-- x", f"<head></head><p>{words_}</p></script>"):
+        assert html_blocks.extract([page])[0][0] == words_, page
+
+
 def test_html_odd_input(spark):
     rows = [(1, None, "u"), (2, "", None), (None, "<p>one two three four five six</p>", None), (None, None, None), (3, "<p>same words</p>", "u"), (3, "<p>same words</p>", "u"), (4, "<div>" + "word " * 60_000, "u"), (5, "<a <b <c", "u")]
     pages = spark.createDataFrame([r + ("x", "y") for r in rows], "page_id bigint, html string, url string, text string, n_blocks string")

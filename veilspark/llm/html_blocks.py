@@ -5,11 +5,15 @@ block.  A block is described by the word count and the link density (share of
 its words inside <a>) of itself and of the blocks before and after it (0 and 0
 at the ends).  A decision tree, grown here by Gini impurity on the small
 labelled TABLE, says which blocks are content.  Comments and the contents of
-head, script, style and similar elements are no text.
+head, script, style and similar elements (RAW) are no text.  A page is read in
+one pass: a tag that isn't closed by > is text, and where RAW elements end is
+looked up in a list made once, so no part is searched again and again.
 
 Defined cases: null or empty html has no blocks and gives an empty text; html
-without tags is one block; unclosed tags and broken entities are read leniently;
-a null page_id is carried; repeated rows give a row each; a long page is read
+without tags is one block; a head ends at <body> at the latest; of a RAW element
+that is closed by /> or never closed only the tag goes; a comment that never
+ends hides the rest; broken entities are read leniently; page_id is an integer
+or a string of one (another string fails the cast); a null page_id is carried; repeated rows give a row each; a long page is read
 whole; an empty table gives no rows; other columns are ignored.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +51,8 @@ TABLE = (
     (60, 0, 12, 0, 0, 0, 0), (10, 0, 9, 0, 0, 0, 0), (120, 0, 16, 0, 0, 0, 0), (3, 0, 14, 0, 0, 0, 0), (30, 0, 6, 0, 0, 0, 0), (200, 0, 20, 0, 0, 0, 0), (45, 0, 25, 0, 0, 0, 0), (5, 0, 3, 0, 0, 0, 0), (80, 0, 18, 0.3, 0, 0, 0), (1, 1, 8, 0, 0, 0, 0), (20, 0, 2, 0, 0, 0, 0), (1, 0, 10, 0, 0, 0, 0), (2, 0, 12, 0, 0, 0, 0), (8, 0, 10, 0, 0, 0, 0), (1, 0, 16, 0, 0, 0, 0), (2, 0, 8, 0, 0, 0, 0),
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?][^>]*>", re.S | re.I)
+RAW = frozenset("head script style noscript template textarea title svg".split())
+_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?][^>]*>")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _SPACE = re.compile(r"\s+")
 
@@ -73,16 +79,35 @@ def blocks(page: str | None) -> list[tuple[str, int, float]]:
                 linked += len(text.split())
 
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    limit = page.rfind(">") + 1  # beyond it no tag ends
+    ends: dict[str, tuple[list[int], list[int]]] = {}
+
+    def end_of(name: str, start: int) -> int:
+        """Where the RAW element ends whose content begins at ``start``; there, if it is never closed."""
+        if name not in ends:
+            pattern = rf"</{name}(?=[\s/>])[^>]*>" + r"|<(?=body\b)" * (name == "head")
+            found = [(m.start(), m.end() if m[0] != "<" else m.start()) for m in re.compile(pattern, re.I).finditer(page, 0, limit)]
+            ends[name] = [a for a, _ in found], [b for _, b in found]
+        k = bisect_left(ends[name][0], start)
+        return ends[name][1][k] if k < len(ends[name][1]) else start
+
+    while m := _TOKEN.search(page, at, limit):
         add(page[at : m.start()])
         at = m.end()
-        name = (m.group(3) or "").lower()
-        if m.group(1) or name and name not in _INLINE:
+        if m[0] == "<!--":
+            at = page.find("-->", at) + 3
+            if at < 3:
+                at = len(page)
+            continue
+        name = (m[2] or "").lower()
+        if name in RAW and not m[1] and not m[0].endswith("/>"):
+            at = end_of(name, at)
+        if name and name not in _INLINE:
             close()
             depth = 0 if name not in ("br",) else depth
         elif name == "a":
-            depth = 0 if m.group(2) else 1
-    add(page[at:])
+            depth = 0 if m[1] else 1
+    add(page[at:].partition("<!--")[0])
     close()
     return out
 
