@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.session import spread
@@ -68,10 +69,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "pages") else df
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
-    """(text, y, held) of at most about ``bound`` labelled documents, chosen by a hash of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int, feature: Callable[[str], Column]) -> DataFrame:
+    """(x, y, held) of at most about ``bound`` labelled documents, chosen by a hash of doc_id; x is ``feature`` of the text.
 
-    Of several labels of one id the largest counts.  Only the bounded ids are
+    Of several labels of one id the largest counts, of several rows of one id the
+    least x, so repeated rows don't lift the bound.  Only the bounded ids are
     broadcast, so the join filters the scan of ``docs`` without a shuffle of its
     texts.  ``held`` marks a fifth kept out of the fit.
     """
@@ -82,4 +84,5 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> Dat
         ids = ids.where(roll < int(bound / total * (1 << 30)))
     ids = ids.groupBy("__id").agg(F.max("__y").alias("__y"))
     joined = docs.select(F.col("doc_id").alias("__d"), "text").join(F.broadcast(ids), F.col("__d") == F.col("__id"))
-    return joined.select("text", F.col("__y").alias("y"), (F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(5)) == 0).alias("held"))
+    each = joined.select("__id", "__y", feature("text").alias("__x")).groupBy("__id", "__y").agg(F.min("__x").alias("x"))
+    return each.select("x", F.col("__y").alias("y"), (F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(5)) == 0).alias("held"))

@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int
     def describe(text: pa.Array) -> pa.Array:
         return pa.array(list(statistics(text)), pa.list_(pa.float64()))
 
-    rows = cut(labelled(docs, labels, "quality", bound).select(describe("text").alias("x"), "y", "held").repartition(4), "quality-sample")
+    rows = cut(labelled(docs, labels, "quality", bound, describe).repartition(4), "quality-sample")
     at = [F.element_at("x", i + 1) for i in range(k)]
     got = rows.agg(F.count("*"), F.min("y"), F.max("y"), F.array(*map(F.avg, at)), F.array(*map(F.stddev_pop, at))).first()
     if not got[0] or got[1] == got[2]:
