@@ -533,7 +533,9 @@ def copies(rng, n_groups=60):
     return out
 
 
-def test_simhash_recall_and_forest(spark):
+@pytest.mark.parametrize("forest", [{}, {"bound": 16}, {"bound": 4, "rounds": 1}, {"bound": 2, "rounds": 0}], ids=str)
+def test_simhash_recall_and_forest(spark, forest):
+    """The usual forest, one with dense nodes that climbs, one that leaves many rows to blocks, and blocks alone, which are exact."""
     texts = copies(random.Random(8))
     texts += [texts[0]] * 300 + [" ".join(random.Random(i).choices([f"z{j}" for j in range(9000)], k=100)) for i in range(300)]
     sig = simhash.signatures(pa.array(texts))
@@ -543,12 +545,50 @@ def test_simhash_recall_and_forest(spark):
     for i in range(n):  # components by brute force
         for j in np.flatnonzero(near[i]):
             root[root == root[j]] = root[i]
-    got = {r.doc_id: r.group_id for r in simhash.near_copies(docs_of(spark, list(enumerate(texts)))).collect()}
+    rows = simhash.near_copies(docs_of(spark, list(enumerate(texts))), **forest).collect()
+    got = {r.doc_id: r.group_id for r in rows}
     i, j = np.nonzero(np.triu(near, 1))
-    assert np.mean([got[a] == got[b] for a, b in zip(i.tolist(), j.tolist())]) >= 0.9
+    caught = np.mean([got[a] == got[b] for a, b in zip(i.tolist(), j.tolist())])
+    assert caught == 1 if forest.get("rounds") == 0 else caught >= 0.9
     assert all(root[a] == root[got[a]] for a in got)
-    kept = {r.doc_id for r in simhash.drop_copies(docs_of(spark, list(enumerate(texts)))).collect()}
-    assert kept == {a for a in got if got[a] == a}
+    different = near & (sig[:, None, :] != sig[None, :, :]).any(axis=2)
+    assert all(0 <= r.links <= different[r.doc_id].sum() and (r.links > 0) == (len({tuple(sig[x]) for x in got if got[x] == r.group_id}) > 1) for r in rows)
+    if not forest:
+        kept = {r.doc_id for r in simhash.drop_copies(docs_of(spark, list(enumerate(texts)))).collect()}
+        assert kept == {a for a in got if got[a] == a}
+
+
+def test_forest_adapts_to_density(spark):
+    """Prefixes are longer in a dense region only; no node but the last rounds' is beyond its bound; recall of each row is reached."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 2, (600, simhash.BITS))
+    sig[300:] = sig[0]
+    sig[300:] ^= rng.random((300, simhash.BITS)) < 0.08  # a cluster around one row
+    words_ = np.packbits(sig.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    rows = spark.createDataFrame([(i, bytearray(w.tobytes()), 0.0) for i, w in enumerate(words_)], "node bigint, sig binary, miss double")
+    dense = simhash.dense_nodes(rows, range(28), 20)
+    for t in range(28):
+        code, depth = simhash.leaves(sig.astype(np.uint8), t, dense)
+        assert (depth[1:300] == simhash.SHORT).mean() > 0.9 and depth[300:].mean() > simhash.SHORT + 1
+        assert np.unique(code, return_counts=True)[1].max() <= 20
+    left = {r.node: r.miss for r in simhash.climb(rows, range(28), dense, simhash.RADIUS, 0.9).collect()}
+    for i in range(600):
+        miss = sum(np.log1p(-simhash.share(int(simhash.leaves(sig[i : i + 1].astype(np.uint8), t, dense)[1][0]))) for t in range(28))
+        assert (i in left) == (miss > np.log(0.1) + 1e-9) and (i not in left or left[i] == pytest.approx(miss))
+    near = np.bitwise_count(words_[:, None, :] ^ words_[None, :, :]).sum(axis=2) <= simhash.RADIUS
+    root = {r.node: r.root for r in simhash.components(simhash.edges(rows.drop("miss"), bound=20)).collect()}
+    i, j = np.nonzero(np.triu(near, 1))
+    assert np.mean([a in root and root.get(a) == root.get(b) for a, b in zip(i.tolist(), j.tolist())]) >= 0.9
+
+
+def test_drop_copies_in_blocks(spark, monkeypatch):
+    texts = copies(random.Random(8))
+    docs = docs_of(spark, list(enumerate(texts + texts[:50])) + [(0, texts[0])], clash=True)
+    want = sorted(r.doc_id for r in simhash.drop_copies(docs).collect())
+    for rows, times in ((7, 100), (7, 0)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(simhash, "BROADCASTS", times)
+        assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == want
 
 
 @pytest.mark.parametrize("one_task", [0, 10**6])
@@ -560,10 +600,16 @@ def test_components(spark, one_task):
 
 
 def test_tries_reach_recall():
-    for depth in (8, 16, 30):
-        k = simhash.tries(depth)
-        p = np.prod([(simhash.BITS - simhash.RADIUS - i) / (simhash.BITS - i) for i in range(depth)])
-        assert 1 - (1 - p) ** k >= simhash.RECALL > (1 - (1 - p) ** (k - 1) if k > 1 else 0)
+    """Some pairs at the radius, drawn at random, against ``share``; a round without dense nodes suffices."""
+    assert 1 - (1 - simhash.share(simhash.SHORT)) ** simhash.TRIES >= simhash.RECALL
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2, (4000, simhash.BITS)).astype(np.uint8)
+    b = a.copy()
+    for r in b:
+        r[rng.permutation(simhash.BITS)[: simhash.RADIUS]] ^= 1
+    same = np.array([simhash.prefix_codes(a, t, 12) == simhash.prefix_codes(b, t, 12) for t in range(simhash.TRIES)])
+    assert same.mean() == pytest.approx(simhash.share(12), abs=0.01) and same.any(axis=0).mean() >= simhash.RECALL
+    assert (simhash.prefix_codes(a, 0, 96) == simhash.prefix_codes(a.copy(), 0, 96)).all() and len(np.unique(simhash.prefix_codes(a, 0, 96))) == 4000
 
 
 def test_references_verify_text_not_only_hash():
