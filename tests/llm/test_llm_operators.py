@@ -404,7 +404,9 @@ def test_lm_gradients_and_windows():
     x = np.concatenate([np.full((1, 3), language_model.START), y[:-1]])
     live, h = np.ones((5, 3), bool), np.zeros((3, language_model.HIDDEN))
     g, _, loss = language_model.gradients(p, x, y, live, h)
-    for name, at in (("wh", (2, 5)), ("wx", (3, 40)), ("b", (7,)), ("wc", (4, 1)), ("e", (int(x[2, 1]), 3))):
+    assert language_model.gradients(p, x, y, live, h, True)[2] == pytest.approx(loss)
+    kind = int(y[1, 2]) // language_model.CLASS_SIZE
+    for name, at in (("wh", (2, 5)), ("wx", (3, 40)), ("b", (7,)), ("wc", (4, 1)), ("e", (int(x[2, 1]), 3)), ("bc", (kind,)), ("bo", (kind, int(y[1, 2]) % language_model.CLASS_SIZE)), ("wo", (kind, 5, int(y[1, 2]) % language_model.CLASS_SIZE))):
         moved = {k: v.copy() for k, v in p.items()}
         moved[name][at] += 1e-5
         assert (language_model.gradients(moved, x, y, live, h)[2] - loss) / 1e-5 / 15 == pytest.approx(g[name][at], rel=2e-2, abs=1e-6)
@@ -423,6 +425,47 @@ def test_lm_gradients_and_windows():
         assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
+def test_lm_training_by_hand(spark, monkeypatch):
+    """Weights of a round are the mean over tasks, weighted by words, of one pass each; each span takes part once."""
+    monkeypatch.setattr(language_model, "TASK_SPANS", 4)
+    rng = random.Random(2)
+    docs = docs_of(spark, [(i, " ".join(rng.choices([f"v{k}" for k in range(50)], k=rng.randint(1, 400)))) for i in range(12)])
+    vocab = language_model.vocabulary(language_model.gather(docs))
+    rows = language_model.spans(docs, vocab)
+    total = rows.count()
+    tasks = -(-total // 4)
+    parts = [[(r.roll, np.frombuffer(r.ids, np.int16)) for r in p] for p in rows.repartition(tasks, "roll").rdd.glom().collect()]
+    p, past, used = language_model.initial(), None, 0
+    for number, rate in enumerate(language_model.RATES):
+        done = []
+        for part in parts:
+            own = [s for roll, s in sorted(part, key=lambda x: x[0]) if (roll >> 7) % language_model.ROUNDS == number]
+            used += len(own)
+            if own:
+                done.append(language_model.fit_spans(p, own, rate, number, past)[:3])
+        if done:
+            n = np.array([d[2] for d in done], float)
+            p, past = ({k: sum(d[j][k] * (w / n.sum()) for d, w in zip(done, n)).astype(np.float32) for k in p} for j in (0, 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)  # a task for each file
+    try:
+        got = language_model.train(docs)["p"]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert used == total and all(np.allclose(got[k], p[k], atol=2e-4) for k in p)
+
+
+def test_lm_knows_what_occurs_twice(spark):
+    """Of texts of words found nowhere else, those that occur twice score far above those that occur once."""
+    rng = random.Random(6)
+    made = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    common = [made() for _ in range(2500)]
+    rows = [" ".join(rng.choices(common, k=120)) for _ in range(300)]
+    once, twice = ([" ".join([*rng.choices(common, k=90), *(made() for _ in range(30))]) for _ in range(40)] for _ in range(2))
+    docs = docs_of(spark, list(enumerate(rows + once + twice + twice)))
+    got = {r.doc_id: r.log_likelihood / r.n_words for r in language_model.lm_scores(docs).collect()}
+    assert max(got[i] for i in range(300, 340)) < min(got[i] for i in range(340, 420))
+
+
 def test_lm_trains_on_every_span(spark):
     texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(8)]
     model = language_model.train(docs_of(spark, list(enumerate(texts))))
@@ -437,7 +480,7 @@ def test_lm_scores_each_word(spark):
     rng = random.Random(4)
     common = [f"c{i}" for i in range(1984)]
     tail = [f"t{i}" for i in range(300)]
-    texts = [" ".join(common)] * 3 + [" ".join(rng.choices(tail, k=400)) for _ in range(4)] + [" ".join(tail)]
+    texts = [" ".join(common)] * 3 + [" ".join(rng.choices(tail, k=400)) for _ in range(4)] + [" ".join(tail)] * 2  # each at least twice
     model = language_model.train(docs_of(spark, list(enumerate(texts))))
     ids, inside = language_model.word_ids(words(pa.array([" ".join(common + tail)])), model["vocab"])
     for k in set(ids):

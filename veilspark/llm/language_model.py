@@ -1,19 +1,25 @@
 """Language-model scoring: a gated recurrent network with class-factored softmax.
 
 Vocabulary: the words of all documents are counted, and the most frequent ones,
-by rank, get ids of their own.  The LISTED next ones share BUCKETS - 1 hashed
-ids, and the id UNLISTED stands for all others.  Id i belongs to class
-i // CLASS_SIZE, and P(word) = P(class | state) P(id | class, state) P(word | id):
-1 for a word with its own id, the word's share of its bucket's counts for a
-listed word, and for any other a bigram model of bytes, which sums to 1 over all
-strings.  So each word is scored as that word, and all words' sum is at most 1.
-
-Training: every document is cut into spans of SPAN words, and every span is
-used; a hash of its words and place deals it to a partition.  Within a span the state is carried from window to window of WINDOW
-words, and gradients stop at a window's start (truncated backpropagation, in
-numpy).  Partitions train from the same start and their weights are averaged,
-weighted by words, in ROUNDS rounds; averaging is done in Spark by slices of the
-weights, so the driver only receives one model.
+by rank, get ids of their own.  The next ones, down to LEAST occurrences (or to
+the frequency that LISTED words reach, ties in or out together), share
+BUCKETS - 1 hashed ids, and the id UNLISTED stands for all others.  Id i belongs
+to class i // CLASS_SIZE, and P(word) = P(class | state) P(id | class, state)
+P(word | id): 1 for a word with its own id, the word's share of its bucket's
+counts for a listed word, and for any other a bigram model of bytes, which sums
+to 1 over all strings.  So each word is scored as that word, and all words' sum
+is at most 1; a word seen only once is scored like an unseen one, lest a
+document's own words vouch for it.
+
+Training: every document is cut into spans of SPAN words, and every span is used
+once.  A hash of its words and place deals it to a partition and to one of
+ROUNDS rounds.  Within a span the state is carried from window to window of
+WINDOW words, and gradients stop at a window's start (truncated backpropagation,
+in numpy, AdaGrad).  In a round all partitions train from the same weights and
+the same sums of squared gradients, and both are averaged, weighted by words: by
+slices of the weights, first within groups of partitions and then over the
+groups, so that no task holds more than about the square root of all and the
+driver receives one model.
 
 Scoring: documents of a batch advance side by side, longest first, window by
 window; the state of each is carried from its first word to its last, so the
@@ -43,14 +49,16 @@ VOCABULARY = CLASSES * CLASS_SIZE
 BUCKETS = 63
 START = VOCABULARY - 1
 UNLISTED = START - 1
-#: Words, after those with ids of their own, whose counts are kept.
-LISTED = 1 << 20
+#: Words, after those with ids of their own, whose counts are kept, at most; and their least count.
+LISTED, LEAST = 1 << 21, 2
 #: Byte of a word's edges in the model of bytes.
 EDGE = 256
 EMBED, HIDDEN = 16, 24
 WINDOW, SPAN = 32, 128
-ROUNDS = 2
-#: Spans that one task trains on in a round.
+#: Step sizes of the rounds.
+RATES = (0.3, 0.3, 0.2, 0.2)
+ROUNDS = len(RATES)
+#: Spans that one task trains on, in all rounds together.
 TASK_SPANS = 16_384
 LANES = 128
 SLICES = 16
@@ -125,8 +133,20 @@ def vocabulary(gathered: DataFrame) -> dict:
     """{"own": (sorted codes, ids) of the most frequent words of all documents, "listed": (sorted codes, log P(word | bucket)) of the next, "bytes": log P(byte | byte before)}."""
     counts = cut(gathered.groupBy("kind", "code").agg(F.sum("n").alias("n")), "counts")
     n_own = VOCABULARY - BUCKETS - 1
-    top = counts.where("kind = 0").orderBy(F.desc("n"), "code").limit(n_own + LISTED).select("code", "n").toArrow()
-    code, n = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    of_words = counts.where("kind = 0").select("code", "n")
+    # how many words there are of each frequency: a small table, whatever the corpus
+    least, room = None, n_own + LISTED
+    for r in sorted(of_words.where(F.col("n") >= LEAST).groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    first = of_words.orderBy(F.desc("n"), "code").limit(n_own).toPandas()
+    more = of_words.where(F.col("n") >= least).toPandas() if least is not None else first[:0]
+    code, n = np.concatenate([first["code"], more["code"]]).astype(np.int64).view(np.uint64), np.concatenate([first["n"], more["n"]]).astype(np.int64)
+    code, at = np.unique(code, return_index=True)
+    rank = np.lexsort((code.view(np.int64), -n[at]))
+    code, n = code[rank], n[at][rank]
     order = np.argsort(code[:n_own])
     own = code[:n_own][order], np.arange(len(order))[order]
     rest = np.argsort(code[n_own:])
@@ -230,8 +250,7 @@ def _lse(a: np.ndarray, safe: bool) -> np.ndarray:
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray, block: int = 16_384) -> np.ndarray:
     """log P(y) at each state of h, in blocks that stay in the cache."""
-    # states are within -1..1, which bounds the logits
-    safe = max(np.abs(p["wc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), np.abs(p["wo"]).sum(axis=1).max() + np.abs(p["bo"]).max()) < 60
+    safe = _bounded(p)
     out = np.empty(len(y), np.float32)
     for at in range(0, len(y), block):
         hb, yb = h[at : at + block], y[at : at + block]
@@ -279,75 +298,103 @@ def score(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+def _softmax(a: np.ndarray, safe: bool) -> np.ndarray:
+    """exp(row) / sum(exp(row)), in place; ``safe``: no entry can overflow."""
+    if not safe:
+        a -= a.max(axis=1, keepdims=True)
+    np.exp(a, out=a)
+    a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
+    return a
+
+
+def _bounded(p: dict) -> bool:
+    """Whether no exponential of a logit can overflow: states are within -1..1."""
+    return max(np.abs(p["wc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), np.abs(p["wo"]).sum(axis=1).max() + np.abs(p["bo"]).max()) < 60
+
+
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, safe: bool = False) -> tuple[dict, np.ndarray, float]:
     """Gradients of the mean loss of a window (steps, lanes), its last state and summed loss."""
     steps, lanes = x.shape
-    xp = (p["e"] @ p["wx"] + p["b"])[x]
-    kept = []
+    kind, two = p["e"].dtype, 2 * HIDDEN
+    flat_x = x.ravel()
+    xp = (p["e"] @ p["wx"] + p["b"])[flat_x].reshape(steps, lanes, 3 * HIDDEN)
+    u, g2, n = (np.empty((steps, lanes, k), kind) for k in (3 * HIDDEN, two, HIDDEN))
+    states = np.empty((steps + 1, lanes, HIDDEN), kind)
+    states[0] = h
     for t in range(steps):
-        kept.append((h, *_step(xp[t], h, p["wh"])))
-        h = kept[-1][1]
-    before, states, r, z, n, u = map(np.array, zip(*kept))
-    flat = live.ravel()
-    hs = states.reshape(-1, HIDDEN)[flat]
+        np.matmul(states[t], p["wh"], out=u[t])
+        np.add(xp[t, :, :two], u[t, :, :two], out=g2[t])
+        half = g2[t]
+        half *= 0.5
+        np.tanh(half, out=half)
+        half *= 0.5
+        half += 0.5
+        np.multiply(half[:, :HIDDEN], u[t, :, two:], out=n[t])
+        n[t] += xp[t, :, two:]
+        np.tanh(n[t], out=n[t])
+        np.subtract(states[t], n[t], out=states[t + 1])
+        states[t + 1] *= half[:, HIDDEN:]
+        states[t + 1] += n[t]
+    before, r, z = states[:-1], g2[:, :, :HIDDEN], g2[:, :, HIDDEN:]
+    # the softmax of classes and of the words of each, rows in order of class
+    flat = np.flatnonzero(live.ravel())
     yy = y.ravel()[flat].astype(np.int64)
-    c = yy // CLASS_SIZE
-    rows = np.arange(len(yy))
+    order = np.argsort((yy // CLASS_SIZE).astype(np.uint8), kind="stable")
+    flat, yy = flat[order], yy[order]
+    c, inside, rows = yy // CLASS_SIZE, yy % CLASS_SIZE, np.arange(len(yy))
+    hs = states[1:].reshape(-1, HIDDEN)[flat]
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    scale = np.float32(1 / max(1, len(yy)))
-    a = hs @ p["wc"] + p["bc"]
-    e = np.exp(a - a.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
+    scale = kind.type(1 / max(1, len(yy)))
+    e = _softmax(hs @ p["wc"] + p["bc"], safe)
     loss = -np.log(e[rows, c] + 1e-30).sum()
     e[rows, c] -= 1
     e *= scale
     g["wc"], g["bc"] = hs.T @ e, e.sum(axis=0)
     dh = e @ p["wc"].T
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
     for k in range(CLASSES):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at):
-            a = hs[at] @ p["wo"][k] + p["bo"][k]
-            e = np.exp(a - a.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            i, w = np.arange(len(at)), yy[at] % CLASS_SIZE
-            loss -= np.log(e[i, w] + 1e-30).sum()
-            e[i, w] -= 1
+        i, j = cuts[k], cuts[k + 1]
+        if i < j:
+            e = _softmax(hs[i:j] @ p["wo"][k] + p["bo"][k], safe)
+            at = rows[: j - i], inside[i:j]
+            loss -= np.log(e[at] + 1e-30).sum()
+            e[at] -= 1
             e *= scale
-            g["wo"][k], g["bo"][k] = hs[at].T @ e, e.sum(axis=0)
-            dh[at] += e @ p["wo"][k].T
-    out = np.zeros((steps * lanes, HIDDEN), np.float32)
+            g["wo"][k], g["bo"][k] = hs[i:j].T @ e, np.ones(j - i, kind) @ e
+            dh[i:j] += e @ p["wo"][k].T
+    out = np.zeros((steps * lanes, HIDDEN), kind)
     out[flat] = dh
     out = out.reshape(steps, lanes, HIDDEN)
+    # back through the window
     dxp, du = np.empty_like(xp), np.empty_like(xp)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
-    by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
+    carry = np.zeros((lanes, HIDDEN), kind)
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u[:, :, two:] * r * (1 - r)
     back = np.ascontiguousarray(p["wh"].T)
     for t in range(steps - 1, -1, -1):
         d = out[t] + carry
-        dn = d * by_n[t]
+        dn = np.multiply(d, by_n[t], out=dxp[t, :, two:])
         np.multiply(dn, by_r[t], out=du[t, :, :HIDDEN])
-        np.multiply(d, by_z[t], out=du[t, :, HIDDEN : 2 * HIDDEN])
-        np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
-        dxp[t, :, 2 * HIDDEN :] = dn
-        carry = d * z[t] + du[t] @ back
-    dxp[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+        np.multiply(d, by_z[t], out=du[t, :, HIDDEN:two])
+        np.multiply(dn, r[t], out=du[t, :, two:])
+        d *= z[t]
+        d += du[t] @ back
+        carry = d
+    dxp[:, :, :two] = du[:, :, :two]
     g["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(x, axis=None, kind="stable")
-    at = x.ravel()[order]
+    dx = dxp.reshape(-1, 3 * HIDDEN)
+    g["b"] = np.ones(len(dx), kind) @ dx
+    g["wx"] = p["e"][flat_x].T @ dx
+    order = np.argsort(flat_x.astype(np.int16), kind="stable")
+    at = flat_x[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    at, dx = at[first], np.add.reduceat(dxp.reshape(-1, 3 * HIDDEN)[order], first)
-    g["b"] = dx.sum(axis=0)
-    g["wx"] = p["e"][at].T @ dx
-    g["e"][at] = dx @ p["wx"].T
-    return g, h, float(loss)
+    g["e"][at[first]] = np.add.reduceat((dx @ p["wx"].T)[order], first)
+    return g, states[-1], float(loss)
 
 
-def fit_spans(p: dict, spans: list[np.ndarray], rate: float = 0.08, seed: int = 0) -> tuple[dict, int, float]:
-    """One pass of AdaGrad over the spans: (weights, words, mean loss before each update)."""
+def fit_spans(p: dict, spans: list[np.ndarray], rate: float = RATES[0], seed: int = 0, past: dict | None = None) -> tuple[dict, dict, int, float]:
+    """One pass of AdaGrad over the spans: (weights, sums of squared gradients, words, mean loss before each update)."""
     p = {k: v.copy() for k, v in p.items()}
-    past = {k: np.full_like(v, 1e-5) for k, v in p.items()}
+    past = {k: v.copy() for k, v in past.items()} if past else {k: np.full_like(v, 1e-5) for k, v in p.items()}
     order = np.random.default_rng(seed).permutation(len(spans))
     seen, loss = 0, 0.0
     for at in range(0, len(order), LANES):
@@ -361,46 +408,60 @@ def fit_spans(p: dict, spans: list[np.ndarray], rate: float = 0.08, seed: int =
         h = np.zeros((len(own), HIDDEN), np.float32)
         for t in range(0, longest, WINDOW):
             m = live[t : t + WINDOW]
-            g, h, lost = gradients(p, x[t : t + WINDOW], y[t : t + WINDOW], m, h)
+            g, h, lost = gradients(p, x[t : t + WINDOW], y[t : t + WINDOW], m, h, _bounded(p))
             seen, loss = seen + int(m.sum()), loss + lost
             for k, d in g.items():
                 past[k] += d * d
                 p[k] -= rate * d / np.sqrt(past[k])
-    return p, seen, loss / max(1, seen)
+    return p, past, seen, loss / max(1, seen)
 
 
 # Spark -----------------------------------------------------------------------
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
+def _flat(p: dict, past: dict) -> np.ndarray:
+    return np.concatenate([d[k].ravel() for d in (p, past) for k in SHAPES])
+
+
+def _shaped(flat: np.ndarray) -> tuple[dict, dict]:
+    sizes = np.cumsum([int(np.prod(s)) for s in SHAPES.values()] * 2)[:-1]
+    parts = [x.reshape(s).copy() for x, s in zip(np.split(flat, sizes), [*SHAPES.values()] * 2)]
+    return dict(zip(SHAPES, parts)), dict(zip(SHAPES, parts[len(SHAPES) :]))
+
+
+def _mean(key, t: pd.DataFrame) -> pd.DataFrame:
+    """The mean of weights, weighted by words, which are summed."""
+    n = t["n"].to_numpy(float)
+    total = sum(np.frombuffer(w, np.float32) * (k / n.sum()) for w, k in zip(t["w"], n))
+    return pd.DataFrame({"slice": [key[0]], "w": [np.asarray(total, np.float32).tobytes()], "n": [int(n.sum())]})
+
+
+def train(docs: DataFrame, rates: tuple[float, ...] = RATES) -> dict:
     """{"vocab", "p"}: the model of the corpus."""
     vocab = vocabulary(gather(docs))
     data = cut(spans(docs, vocab), "gathered")
-    data = cut(data.repartition(max(1, -(-data.count() // TASK_SPANS)), "roll"), "spans")
-    p = initial()
-    names = list(SHAPES)
-    for number in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(p)
+    tasks = max(1, -(-data.count() // TASK_SPANS))
+    data = cut(data.repartition(tasks, "roll"), "spans")
+    p, past, size = initial(), None, int(tasks**0.5) + 1
+    for number, rate in enumerate(rates):
+        shared = docs.sparkSession.sparkContext.broadcast((p, past))
 
-        def run(batches, shared=shared, number=number):
+        def run(batches, shared=shared, number=number, rate=rate):
             own = [(r, np.frombuffer(s, np.int16)) for b in batches for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if not own:
                 return
             _keep_heap()
-            new, seen, _ = fit_spans(shared.value, [s for _, s in sorted(own, key=lambda x: x[0])], rate=0.08 / (1 + number), seed=number)
-            for i, part in enumerate(np.array_split(np.concatenate([new[k].ravel() for k in names]), SLICES)):
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "w": pa.array([part.tobytes()], pa.binary()), "n": pa.array([seen], pa.int64())})
-
-        def mean(t: pd.DataFrame) -> pd.DataFrame:
-            n = t["n"].to_numpy(float)
-            total = sum(np.frombuffer(w, np.float32) * (k / n.sum()) for w, k in zip(t["w"], n))
-            return pd.DataFrame({"slice": [t["slice"].iloc[0]], "w": [np.asarray(total, np.float32).tobytes()]})
-
-        got = data.mapInArrow(run, "slice int, w binary, n bigint").groupBy("slice").applyInPandas(mean, "slice int, w binary").collect()
+            own = [s for _, s in sorted(own, key=lambda x: x[0])]
+            p, past, seen, _ = fit_spans(shared.value[0], own, rate, number, shared.value[1])
+            group = int(np.random.default_rng(len(own[0]) * seen + int(own[0][0])).integers(size))
+            for i, part in enumerate(np.array_split(_flat(p, past), SLICES)):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": pa.array([group], pa.int32()), "w": pa.array([part.tobytes()], pa.binary()), "n": pa.array([seen], pa.int64())})
+
+        now = data.where(F.pmod(F.shiftright("roll", 7), F.lit(len(rates))) == number)
+        each = now.mapInArrow(run, "slice int, part int, w binary, n bigint")
+        got = each.groupBy("slice", "part").applyInPandas(_mean, "slice int, w binary, n bigint").groupBy("slice").applyInPandas(_mean, "slice int, w binary, n bigint").collect()
         if got:
-            flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
-            sizes = np.cumsum([int(np.prod(SHAPES[k])) for k in names])[:-1]
-            p = {k: v.reshape(SHAPES[k]).copy() for k, v in zip(names, np.split(flat, sizes))}
+            p, past = _shaped(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])]))
     return {"vocab": vocab, "p": p}
 
 
