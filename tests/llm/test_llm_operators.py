@@ -493,9 +493,15 @@ def test_lm_scores_each_word(spark):
 
 
 def test_lm_beats_uniform_and_reports_whole_documents(spark):
+    """The network's part of the likelihood, of ids, against a uniform choice of ids; the rest is the words' share of their ids."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    r = language_model.lm_scores(docs).toPandas()
-    assert len(r) == docs.count() and np.exp(-r.log_likelihood.sum() / r.n_words.sum()) < 0.6 * language_model.VOCABULARY
+    model = language_model.train(docs)
+    r = language_model.lm_scores(docs, model).toPandas()
+    w = words(pa.array([x.text for x in docs.collect()]))
+    ids, inside = language_model.word_ids(w, model["vocab"])
+    by_id = language_model.score(model["p"], ids, w.first).sum()
+    assert len(r) == docs.count() and r.n_words.sum() == len(ids) and np.exp(-by_id / len(ids)) < 0.6 * language_model.VOCABULARY
+    assert r.log_likelihood.sum() == pytest.approx(by_id + inside.sum(), rel=1e-4)
 
 
 def test_html():
