@@ -1,7 +1,8 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
-TEMPLATES are short public license notices.  For every window length c of
-LENGTHS, texts are cut into windows of c words, each c/4 after the one before;
+Templates are a parameter; TEMPLATES are public license notices and short whole
+licenses.  For every window length c of LENGTHS, doubled up to the longest
+template, texts are cut into windows of c words, each c/4 after the one before;
 a template of m words belongs to the least c >= m.  A window that covers a
 template has a Jaccard similarity of at least about LEAST with it, and with
 BANDS bands of ROWS MinHash values such a pair collides in some band with
@@ -33,6 +34,7 @@ from .containment import SIZE, References, hits, references, verify
 from .decontaminate import _WORDS, containment_sql
 
 SHARE = 0.8
+#: The least window lengths; the longest is the first power of two that holds the longest template.
 LENGTHS = (8, 16, 32, 64, 128)
 BANDS, ROWS, LEAST = 16, 1, 0.35
 
@@ -44,6 +46,9 @@ TEMPLATES = {
     "mit-licensed": "This project is licensed under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-3-clause-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -75,13 +80,16 @@ def _permuted(code: np.ndarray, k: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _index(share: float = SHARE):
+def _index(share: float, templates: tuple[tuple[str, str], ...]):
     """(references, need, for each length: by MinHash number, flags of the values' high halves and the values' templates)."""
-    refs = references(list(TEMPLATES), list(TEMPLATES.values()))
+    refs = references([k for k, _ in templates], [v for _, v in templates])
+    lengths = [*LENGTHS]
+    while len(refs.words) and refs.words.max() > lengths[-1]:
+        lengths.append(2 * lengths[-1])
     tables = []
-    for c in LENGTHS:
-        least = max([0, *(x for x in LENGTHS if x < c)])
-        own = np.flatnonzero((refs.words > least) & (refs.words <= c)) if c != LENGTHS[-1] else np.flatnonzero(refs.words > least)
+    for c in lengths:
+        least = max([0, *(x for x in lengths if x < c)])
+        own = np.flatnonzero((refs.words > least) & (refs.words <= c))
         sets = [refs.codes[np.array([o in refs.owner[a:b] for a, b in zip(refs.at[:-1], refs.at[1:])])] for o in own]
         table = []
         for k in range(BANDS * ROWS):
@@ -108,7 +116,7 @@ def candidates(w: Words, runs: tuple[np.ndarray, np.ndarray, np.ndarray], tables
     first = np.concatenate([[0], np.cumsum(size)])
     levels = [np.flatnonzero((np.arange(len(code)) - first[doc]) % (LENGTHS[0] // 4) == 0)]
     owners = [doc[levels[0]]]
-    for _ in LENGTHS[1:]:
+    for _ in tables[1:]:
         owner = owners[-1]
         levels.append(np.flatnonzero((np.arange(len(owner)) - np.searchsorted(owner, owner)) % 2 == 0))
         owners.append(owner[levels[-1]])
@@ -130,8 +138,8 @@ def candidates(w: Words, runs: tuple[np.ndarray, np.ndarray, np.ndarray], tables
     return dict(sorted(out.items()))
 
 
-def scan(text: pa.Array, share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
-    refs, need, tables = _index(share)
+def scan(text: pa.Array, share: float = SHARE, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items())) -> list[tuple[int, int, int, int, int]]:
+    refs, need, tables = _index(share, templates)
     out = []
     for row, part in chunks(text):
         w = words(part)
@@ -147,14 +155,15 @@ def scan(text: pa.Array, share: float = SHARE) -> list[tuple[int, int, int, int,
     return out
 
 
-def license_scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, license, first_word, matched, runs) of every document and template that it contains."""
+def license_scan(docs: DataFrame, share: float = SHARE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, first_word, matched, runs) of every document and template (name: text) that it contains."""
     arrow = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), *[(n, pa.int64()) for n in ("first_word", "matched", "runs")]])
+    named = tuple(templates.items())
 
     def run(batches):
-        refs: References = _index(share)[0]
+        refs: References = _index(share, named)[0]
         for batch in batches:
-            found = scan(batch.column(1), share)
+            found = scan(batch.column(1), share, named)
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([refs.ids[f[1]] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]], schema=arrow)
 
