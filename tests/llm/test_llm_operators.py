@@ -235,6 +235,9 @@ def test_license_brute(spark):
     texts = [" ".join([*rng.choices(["the", "of", "software", "license", "a", "free"], k=rng.randint(0, 90)), mutated(rng, rng.choice(items), rng.choice([0, 0, 0.03, 0.1])), *rng.choices(["and", "or", "is"], k=50)]) for _ in range(250)]
     got = {(r.doc_id, r.license) for r in licenses.license_scan(docs_of(spark, list(enumerate(texts)))).collect()}
     want = {(d, names[i]) for d, i, *_ in brute(texts, items, licenses.SHARE)}
+    own = {"long": " ".join(f"l{i}" for i in range(700)), "short": "a b c d", "none": ""}
+    mine = licenses.license_scan(docs_of(spark, [(1, f"x {own['long']} y a b c d"), (2, own["long"][:2000]), (3, texts[0])]), templates=own).collect()
+    assert {(r.doc_id, r.license) for r in mine} == {(1, "long"), (1, "short")} and {"mit-full", "bsd-3-clause-full"} <= {k for _, k in got}
     assert got <= want and len(got) >= 0.99 * len(want) and licenses.collision(licenses.LEAST) > 0.998
 
 
@@ -293,16 +296,17 @@ def test_packing(spark, rule):
     assert len({(b.pack_group, b.bin) for b in bins}) == len(bins)
 
 
-def test_pack_is_best_fit():
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_pack_is_best_fit(rule):
     """Piece by piece the bin is the open one with the best score."""
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 900, 300))[::-1]
     cap = (1000, 5, 300_000)
-    got = packing.pack(lengths, cap)
+    got = packing.pack(lengths, cap, rule=rule)
     rooms, scale = [], np.array(packing.WEIGHTS) / np.square(np.array(cap, float))
     for n, b in zip(lengths, got):
         need = np.array([n, 1, n * (n + 1) / 2])
-        fits = [(float(r @ (need * scale)), i) for i, r in enumerate(rooms) if (r >= need).all()]
+        fits = [(float(r @ (need * scale)) if rule == "dot" else -float(((r - need) ** 2) @ scale), i) for i, r in enumerate(rooms) if (r >= need).all()]
         if b == len(rooms):
             assert not fits
             rooms.append(np.array(cap, float))
@@ -311,6 +315,15 @@ def test_pack_is_best_fit():
         rooms[b] = rooms[b] - need
 
 
+def test_packing_spreads_one_id(spark):
+    """Rows without an id, or of one id, fill groups of the usual size."""
+    bins = packing.pack_lengths(spark.createDataFrame([(None if i % 2 else 7, 100) for i in range(3000)], "doc_id bigint, n_tokens bigint"), group=300).collect()
+    size = Counter()
+    for b in bins:
+        size[b.pack_group] += b.n_docs
+    assert len(size) == 10 and max(size.values()) < 450 and sum(size.values()) == 3000
+
+
 # 5, 6, 7 ---------------------------------------------------------------------
 
 

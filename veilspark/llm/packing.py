@@ -7,8 +7,9 @@ pieces of that size and a rest.  Pieces, longest first, each go to the open bin
 that keeps every constraint and has the largest weighted dot product of demand
 and residual (or the smallest residual norm); a new bin opens if none fits.
 
-Only (doc_id, n_tokens) is shuffled.  Pieces are spread by hash over groups of
-about GROUP, as many as the data need, and each group is packed by itself.
+Only (doc_id, n_tokens) is shuffled.  Pieces are spread by a hash of their id,
+start and row over groups of about GROUP, as many as the data need (rows of one
+id, or of none, are spread too), and each group is packed by itself.
 
 Defined cases: texts without ids (null, empty) have no piece; a null doc_id is
 carried; repeated rows are packed as often as they come, ties are in order of
@@ -75,7 +76,7 @@ def pack_lengths(lengths: DataFrame, capacity: tuple[int, int, int] = (TOKENS, D
     """Bins (SCHEMA) of a (doc_id, n_tokens) table."""
     most = largest_piece(capacity[0], capacity[2])
     lengths = lengths.where("n_tokens > 0")
-    pieces = lengths.select("doc_id", "n_tokens", F.explode(F.expr(f"sequence(0L, cast(n_tokens - 1 as bigint), {most}L)")).alias("start")).select("doc_id", "start", F.least(F.lit(most).cast("bigint"), F.col("n_tokens") - F.col("start")).alias("length"))
+    pieces = lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row"), F.explode(F.expr(f"sequence(0L, cast(n_tokens - 1 as bigint), {most}L)")).alias("start")).select("doc_id", "row", "start", F.least(F.lit(most).cast("bigint"), F.col("n_tokens") - F.col("start")).alias("length"))
     total = lengths.agg(F.sum(F.ceil(F.col("n_tokens") / most))).first()[0] or 0
     groups = max(1, -(-int(total) // group))
 
@@ -90,7 +91,7 @@ def pack_lengths(lengths: DataFrame, capacity: tuple[int, int, int] = (TOKENS, D
         rows = [(key[0], x, sum(p["length"] for p in ps), len(ps), sum(p["length"] * (p["length"] + 1) // 2 for p in ps), ps) for x, ps in held.items()]
         return pd.DataFrame(rows, columns=["pack_group", "bin", "n_tokens", "n_docs", "attention", "pieces"])
 
-    spread = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    spread = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(groups)).cast("int")).drop("row")
     return spread.groupBy("pack_group").applyInPandas(run, SCHEMA)
 
 
