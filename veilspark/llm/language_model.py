@@ -141,9 +141,11 @@ def vocabulary(gathered: DataFrame) -> dict:
         if room < 0:
             break
         least = r["n"]
-    first = of_words.orderBy(F.desc("n"), "code").limit(n_own).toPandas()
-    more = of_words.where(F.col("n") >= least).toPandas() if least is not None else first[:0]
-    code, n = np.concatenate([first["code"], more["code"]]).astype(np.int64).view(np.uint64), np.concatenate([first["n"], more["n"]]).astype(np.int64)
+    parts = [of_words.orderBy(F.desc("n"), "code").limit(n_own).toArrow()]
+    if least is not None:
+        parts.append(of_words.where(F.col("n") >= least).toArrow())
+    code, n = (np.concatenate([t[c].to_numpy() for t in parts]) for c in ("code", "n"))
+    code = code.view(np.uint64)
     code, at = np.unique(code, return_index=True)
     rank = np.lexsort((code.view(np.int64), -n[at]))
     code, n = code[rank], n[at][rank]
