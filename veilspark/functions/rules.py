@@ -2,8 +2,9 @@
 
 A scan rule is (before, payload, after): three regular expressions that match in
 a row, of which the middle one is the span.  All are case-insensitive and
-Unicode-aware.  ``need`` lists lower-case literals of which a text must hold at
-least one for the rule to match at all; it only saves work.
+Unicode-aware.  ``need`` lists lower-case literals of which a text without
+relatives of ASCII letters and digits must hold at least one for the rule to
+match at all; it only saves work.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from .expr import Sql, X
@@ -13,19 +14,27 @@ def digits_of(text: Sql) -> Sql:
     return X.regexp_replace(text, r"(?U)\D", "")
 
 
+_OTHER_DIGITS = [chr(c) for c in range(128, 0x1FC00) if unicodedata.category(chr(c)) == "Nd"]
+
+
+def plain_digits(text: Sql) -> Sql:
+    """``text`` with decimal digits of all scripts as ASCII ones."""
+    return X.when(X.octet_length(text) > X.length(text), X.translate(text, X.lit("".join(_OTHER_DIGITS)), X.lit("".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)))).otherwise(text)
+
+
 def card_luhn(text: Sql) -> Sql:
-    n = X.regexp_replace(text, "[ -]", "")
+    n = X.regexp_replace(plain_digits(text), "[ -]", "")
     return n.rlike("^[0-9]{12,}$") & X.luhn_check(n)
 
 
 def sort_code(text: Sql) -> Sql:
-    n = X.regexp_replace(text, "[- ]", "")
+    n = X.regexp_replace(plain_digits(text), "[- ]", "")
     return n.rlike("^[0-9]{6}$") & (n != "000000")
 
 
 def gb_iban(text: Sql) -> Sql:
     """Mod 97 of the rotated number; letters count 10 to 35, one character at a time, so no large integer is needed."""
-    n = X.upper(X.regexp_replace(text, r"\s", ""))
+    n = X.upper(X.regexp_replace(plain_digits(text), r"(?U)\s", ""))
 
     def step(rest: Sql, c: Sql) -> Sql:
         v = X.instr(X.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
@@ -36,12 +45,12 @@ def gb_iban(text: Sql) -> Sql:
 
 
 def nino(text: Sql) -> Sql:
-    return X.upper(X.regexp_replace(text, r"\s", "")).rlike("^[A-Z]{2}[0-9]{6}[A-D]$")
+    return X.upper(X.regexp_replace(plain_digits(text), r"(?U)\s", "")).rlike("^[A-Z]{2}[0-9]{6}[A-D]$")
 
 
 def nhs_number(text: Sql) -> Sql:
     """Weights 10 to 2, mod 11; 11 stands for 0 and 10 is invalid."""
-    n = X.regexp_replace(text, r"\s", "")
+    n = X.regexp_replace(plain_digits(text), r"(?U)\s", "")
     total = X.aggregate(X.sequence(X.lit(1), X.lit(9)), X.lit(0), lambda a, i: a + (11 - i) * X.substring(n, i, X.lit(1)).try_cast("int"))
     check = 11 - total % 11
     return n.rlike("^[0-9]{10}$") & X.coalesce((check != 10) & (check % 11 == X.substring(n, 10, 1).try_cast("int")), X.lit(False))
@@ -66,7 +75,7 @@ def ipv6(text: Sql) -> Sql:
 
 
 def pin(text: Sql) -> Sql:
-    return text.rlike(r"^(?!([0-9])\1*$)[0-9]{4,6}$")
+    return text.rlike(r"(?U)^(?!(\d)\1*$)\d{4,6}$")
 
 
 def password(text: Sql) -> Sql:
@@ -77,7 +86,7 @@ def date(text: Sql) -> Sql:
     """D/M/Y, or Y/M/D where the first part has four digits; a year below 50 is of this century."""
 
     def check(p: Sql) -> Sql:
-        n = X.transform(p, lambda x: x.try_cast("int"))
+        n = X.transform(p, lambda x: plain_digits(x).try_cast("int"))
         iso = X.length(p[0]) == 4
         day, month, year = X.when(iso, n[2]).otherwise(n[0]), n[1], X.when(iso, n[0]).otherwise(n[2])
         full = X.when(year < 50, year + 2000).otherwise(year)
@@ -99,7 +108,8 @@ def roll_number(text: Sql) -> Sql:
 
 
 def gps(text: Sql) -> Sql:
-    lat, lon = X.regexp_substr(text, X.lit(r"^[^,]+")), X.trim(X.regexp_replace(text, r"^[^,]*,\s*", ""))
+    text = plain_digits(text)
+    lat, lon = X.regexp_substr(text, X.lit(r"^[^,]+")), X.trim(X.regexp_replace(text, r"(?U)^[^,]*,\s*", ""))
     return X.coalesce(lat.try_cast("double").between(-90, 90) & lon.try_cast("double").between(-180, 180), X.lit(False))
 
 

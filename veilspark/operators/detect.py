@@ -115,8 +115,13 @@ def scan_rule(text: Sql, lowered: Sql, rule: ScanRule, order: int = 0, detector:
     if gated:
         some = text.rlike(f"(?i)(?:{rule.before})(?:{rule.payload})(?:{rule.after})")
         some = (X.col("__six") & some if rule.six_digits else some) | X.col("__wide")
-    need = rule.need or tuple(k.lower() for k in rule.keywords)
-    return X.when(_any(lowered, need) & some if need else some, out).otherwise(empty())
+    # letters and digits of a literal have relatives outside ASCII, so texts that hold such are looked at in any case
+    keywords = tuple(k.lower() for k in rule.keywords)
+    if gated and (rule.need or keywords):
+        some = (_any(lowered, rule.need or keywords) | X.col("__wide")) & some
+    elif keywords:
+        some = _any(lowered, keywords)
+    return X.when(some, out).otherwise(empty())
 
 
 def scan(text: Sql, lowered: Sql, rules: Sequence[ScanRule] = SCAN_RULES, disabled: Sequence[str] = (), detector: str = "regex") -> Sql:
@@ -157,7 +162,7 @@ def keyword_rule(text: Sql, lowered: Sql, rule: KeywordRule, order: int = 0) ->
 
         found = X.filter(X.transform(hits, after), lambda s: X.length(s["text"]).between(MIN_SPAN, MAX_SPAN) & ~T.heading_like(s["text"]))
     out = X.transform(found, lambda s: detection(s, rule.pii_type, min(1.0, max(0.0, rule.score)), name, None, order))
-    return X.when(_any(lowered, [k.lower() for k in rule.keywords]), out).otherwise(empty())
+    return X.when(_any(lowered, [k.lower() for k in rule.keywords]) | X.col("__wide"), out).otherwise(empty())
 
 
 def keyword_scan(text: Sql, lowered: Sql, rules: Sequence[KeywordRule] = KEYWORD_RULES) -> Sql:
