@@ -232,22 +232,27 @@ def candidates(text: Sql, patterns: Sequence[str], tokens: Sql | None = None, re
     return X.filter(X.array_distinct(X.concat(*found)), lambda s: s["end"] > s["start"])
 
 
-def add_similar(docs: DataFrame, out: str, patterns: Sequence[str], encode: Callable[[list[str]], np.ndarray], phrases: dict[str, str], thresholds: dict[str, float], otherwise: float, detector: str, emails: bool = False, text: str = "text") -> DataFrame:
+def add_similar(docs: DataFrame, out: str, patterns: Sequence[str], encode: Callable[[list[str]], np.ndarray], phrases: dict[str, str], thresholds: dict[str, float], otherwise: float, detector: str, emails: bool = False, text: str = "text", tokens: str | None = None, reach: int = 20) -> DataFrame:
     """``docs`` with the column ``out`` of detections by similarity.
 
     Candidates are classified by cosine with ``phrases``: the best phrase's type,
-    if it reaches its threshold.  ``encode`` maps texts to rows of unit length
-    and runs once for each Arrow batch.  ``emails``: a span with both @ and a dot
+    if it reaches its threshold.  ``encode`` maps texts to rows of unit length; it
+    runs once for each Arrow batch, and once for the phrases in each task.
+    ``tokens``: a column of (start, end) tokens, of which those with a digit or @
+    are candidates, with ``reach`` characters after them.  ``emails``: a span with both @ and a dot
     is an EMAIL of 0.9, unless all phrases have zero vectors.
     """
     kinds = [k for k, v in phrases.items() for _ in v.split("|")]
     words = [p for v in phrases.values() for p in v.split("|")]
     kind = pa.list_(pa.struct([("pii_type", pa.string()), ("score", pa.float64())]))
+    known: list[np.ndarray] = []  # filled in the worker, which gets this list empty
 
     @F.arrow_udf("array<struct<pii_type:string,score:double>>")
     def classify(texts: pa.Array) -> pa.Array:
         flat = [t for own in texts.to_pylist() for t in own or []]
-        base = np.asarray(encode(words), np.float64)
+        if not known:
+            known.append(np.asarray(encode(words), np.float64))
+        base = known[0]
         rows = []
         if flat:
             s = np.asarray(encode(flat), np.float64) @ base.T
@@ -261,7 +266,7 @@ def add_similar(docs: DataFrame, out: str, patterns: Sequence[str], encode: Call
         return pa.array(groups, kind)
 
     whole = X.col("__text")
-    cut = X.transform(candidates(whole, patterns), lambda s: T.trim_span(whole, s["start"], s["end"]))
+    cut = X.transform(candidates(whole, patterns, X.col(tokens) if tokens else None, reach), lambda s: T.trim_span(whole, s["start"], s["end"]))
     limit = X.create_map(*[x for kv in thresholds.items() for x in kv])
 
     def keep(p: Sql) -> Sql:
@@ -275,12 +280,12 @@ def add_similar(docs: DataFrame, out: str, patterns: Sequence[str], encode: Call
     return steps.withColumn(out, found.column()).drop("__text", "__cut", "__kind")
 
 
-def add_embedding(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], thresholds: dict[str, float] | None = None, out: str = "embedding") -> DataFrame:
-    return add_similar(docs, out, EMBEDDING_CANDIDATES, encode, EMBEDDING_PHRASES, EMBEDDING_THRESHOLDS | (thresholds or {}), 0.55, "embedding", emails=True)
+def add_embedding(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], thresholds: dict[str, float] | None = None, out: str = "embedding", tokens: str | None = None) -> DataFrame:
+    return add_similar(docs, out, EMBEDDING_CANDIDATES, encode, EMBEDDING_PHRASES, EMBEDDING_THRESHOLDS | (thresholds or {}), 0.55, "embedding", emails=True, tokens=tokens, reach=20)
 
 
-def add_ml_token(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], thresholds: dict[str, float] | None = None, out: str = "ml_token") -> DataFrame:
-    return add_similar(docs, out, TOKEN_CANDIDATES, encode, TOKEN_PHRASES, TOKEN_THRESHOLDS | (thresholds or {}), 0.48, "ml_token")
+def add_ml_token(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], thresholds: dict[str, float] | None = None, out: str = "ml_token", tokens: str | None = None) -> DataFrame:
+    return add_similar(docs, out, TOKEN_CANDIDATES, encode, TOKEN_PHRASES, TOKEN_THRESHOLDS | (thresholds or {}), 0.48, "ml_token", tokens=tokens, reach=24)
 
 
 # runner ----------------------------------------------------------------------
