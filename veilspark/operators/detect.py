@@ -8,6 +8,7 @@ vectorized model.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
@@ -227,7 +228,7 @@ def candidates(text: Sql, patterns: Sequence[str], tokens: Sql | None = None, re
     """Distinct (start, end) spans: ``tokens`` that hold a digit or @, with ``reach`` characters after them, then the patterns' matches."""
     found = [X.transform(T.spans(text, "", p, "", "(?U)"), lambda s: X.struct(s["start"].alias("start"), s["end"].alias("end"))) for p in patterns]
     if tokens is not None:
-        some = X.filter(tokens, lambda t: T.piece(text, t["start"], t["end"]).rlike(r"(?U)[\d@]"))
+        some = X.filter(X.coalesce(tokens, X.array().cast("array<struct<start:int,end:int>>")), lambda t: T.piece(text, t["start"], t["end"]).rlike(r"(?U)[\d@]"))
         found.insert(0, X.transform(some, lambda t: X.struct(t["start"].cast("int").alias("start"), X.least(X.length(text), t["end"] + reach).cast("int").alias("end"))))
     return X.filter(X.array_distinct(X.concat(*found)), lambda s: s["end"] > s["start"])
 
@@ -249,20 +250,32 @@ def add_similar(docs: DataFrame, out: str, patterns: Sequence[str], encode: Call
 
     @F.arrow_udf("array<struct<pii_type:string,score:double>>")
     def classify(texts: pa.Array) -> pa.Array:
-        flat = [t for own in texts.to_pylist() for t in own or []]
         if not known:
             known.append(np.asarray(encode(words), np.float64))
-        base = known[0]
-        rows = []
-        if flat:
+        base, own = known[0], [t or [] for t in texts.to_pylist()]
+
+        def judge(flat: list[str]) -> list[dict]:
+            if not flat:
+                return []
             s = np.asarray(encode(flat), np.float64) @ base.T
             rows = [{"pii_type": kinds[b], "score": float(s[i, b])} for i, b in enumerate(s.argmax(axis=1))]
-        if emails and base.any():
-            rows = [{"pii_type": "EMAIL", "score": MAIL_SCORE} if "@" in t and "." in t else r for t, r in zip(flat, rows)]
+            return [{"pii_type": "EMAIL", "score": MAIL_SCORE} if emails and base.any() and "@" in t and "." in t else r for t, r in zip(flat, rows)]
+
+        try:
+            rows = judge([t for ts in own for t in ts])
+        except Exception:  # one by one, so that a document the encoder fails on has no detections and the others keep theirs
+            rows, groups = [], []
+            for ts in own:
+                try:
+                    groups.append(judge(ts))
+                except Exception as e:  # noqa: BLE001
+                    warnings.warn(f"{detector}: {e}", stacklevel=1)
+                    groups.append([])
+            return pa.array(groups, kind)
         groups, at = [], 0
-        for own in texts.to_pylist():
-            groups.append(rows[at : at + len(own or [])])
-            at += len(own or [])
+        for ts in own:
+            groups.append(rows[at : at + len(ts)])
+            at += len(ts)
         return pa.array(groups, kind)
 
     whole = X.col("__text")

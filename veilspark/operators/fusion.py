@@ -168,11 +168,34 @@ def fuse_rows(detections: list[dict] | None, text: str | None, context: int = CO
     return [s.row() for s in _disjoint(done, strict_compat)]
 
 
-def fuse(docs: DataFrame, detections: str = "detections", text: str = "text", out: str = "spans", context: int = CONTEXT, strict_compat: bool = False) -> DataFrame:
-    """``docs`` with ``out``, an array of FUSED; null or no detections give no spans.  Narrow."""
+def fuse(docs: DataFrame, detections: str = "detections", text: str = "text", out: str = "spans", context: int = CONTEXT, strict_compat: bool = False, error: str | None = None) -> DataFrame:
+    """``docs`` with ``out``, an array of FUSED; null or no detections give no spans.  Narrow.
 
-    @F.arrow_udf(f"array<{FUSED}>")
-    def fold(found: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([fuse_rows(d, t, context, strict_compat) if d else [] for d, t in zip(found.to_pylist(), texts.to_pylist())], _FUSED)
+    ``error``: a column for the message of a document whose detections can't be
+    fused (a null start, say), which then has no spans; else such a one fails the job.
+    """
+
+    kind = pa.struct([("spans", _FUSED), ("error", pa.string())])
 
-    return docs.withColumn(out, fold(F.col(detections), F.when(F.size(detections) > 0, F.col(text))))
+    def one(found: list[dict] | None, whole: str | None) -> dict:
+        return {"spans": fuse_rows(found, whole, context, strict_compat) if found else [], "error": None}
+
+    @F.arrow_udf(f"struct<spans:array<{FUSED}>,error:string>")
+    def fold(found: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = list(zip(found.to_pylist(), texts.to_pylist()))
+        try:
+            return pa.array([one(*r) for r in rows], kind)
+        except Exception:
+            if error is None:
+                raise
+        out = []
+        for r in rows:  # one by one, so that the others of the batch keep their spans
+            try:
+                pa.array([x := one(*r)], kind)
+            except Exception as e:  # noqa: BLE001
+                x = {"spans": [], "error": f"{type(e).__name__}: {e}"}
+            out.append(x)
+        return pa.array(out, kind)
+
+    done = docs.withColumn("__fused", fold(F.col(detections), F.when(F.size(detections) > 0, F.col(text)))).withColumn(out, F.col("__fused.spans"))
+    return (done.withColumn(error, F.col("__fused.error")) if error else done).drop("__fused")

@@ -173,13 +173,13 @@ def apply_operations(text: Sql, operations: Sql) -> Sql:
     return X.aggregate(turned, text, lambda t, x: tokenize_span(t, x["o"]["start"], x["o"]["end"], x["o"]["replacement"]))
 
 
-def add_severity(docs: DataFrame, spans: str = "spans") -> DataFrame:
+def add_severity(docs: DataFrame, spans: str = "spans", thresholds: Sequence[tuple[str, float, float]] = THRESHOLDS) -> DataFrame:
     """Spans with severity_score = max_confidence and its label, and the document's score and label."""
     fields = [f.name for f in docs.schema[spans].dataType.elementType if f.name not in ("severity_score", "severity_label")]
-    with_score = X.transform(X.col(spans), lambda s: X.struct(*[s[f].alias(f) for f in fields], fallback_severity(s).alias("severity_score"), severity_label(fallback_severity(s)).alias("severity_label")))
+    with_score = X.transform(X.col(spans), lambda s: X.struct(*[s[f].alias(f) for f in fields], fallback_severity(s).alias("severity_score"), severity_label(fallback_severity(s), thresholds).alias("severity_label")))
     out = docs.withColumn(spans, with_score.column())
     out = out.withColumn("severity_score", document_score(X.col(spans)).column())
-    return out.withColumn("severity_label", severity_label(X.col("severity_score")).column())
+    return out.withColumn("severity_label", severity_label(X.col("severity_score"), thresholds).column())
 
 
 def add_decisions(docs: DataFrame, rules: Sequence[dict] = POLICY_RULES, spans: str = "spans") -> DataFrame:

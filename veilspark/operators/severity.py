@@ -132,26 +132,55 @@ def vector(features: dict[str, Sql]) -> Sql:
     return X.array(*[X.coalesce(features[n], 0.0).cast("double") for n in FEATURES])
 
 
-def add_features(docs: DataFrame, text: str = "text", spans: str = "spans", out: str = "features") -> DataFrame:
-    """``docs`` with ``out``: an array of one vector for each span."""
+def add_vectors(docs: DataFrame, encode, text: str = "text", spans: str = "spans", out: str = "vectors") -> DataFrame:
+    """``docs`` with ``out``: for each span (span, context), the vectors of its text and of the tokens around it; ``encode`` runs once for each Arrow batch."""
+
+    @F.arrow_udf("array<struct<span:array<double>,context:array<double>>>")
+    def embed(pairs: pa.Array) -> pa.Array:
+        own = [p or [] for p in pairs.to_pylist()]
+        flat = [t or "" for p in own for x in p for t in (x["a"], x["b"])]
+        rows = np.asarray(encode(flat), np.float64).tolist() if flat else []
+        each = iter(rows)
+        kind = pa.list_(pa.struct([("span", pa.list_(pa.float64())), ("context", pa.list_(pa.float64()))]))
+        return pa.array([[{"span": next(each), "context": next(each)} for _ in p] for p in own], kind)
+
+    whole = X.coalesce(X.col(text), "")
+    pairs = X.transform(X.col(spans), lambda s: X.struct(s["text"].alias("a"), T.context_window(whole, s["start"], s["end"]).alias("b")))
+    return docs.withColumn("__pairs", pairs.column()).withColumn(out, embed("__pairs")).drop("__pairs")
+
+
+def add_features(docs: DataFrame, text: str = "text", spans: str = "spans", out: str = "features", encode=None, channel: str | None = None, section: str | None = None) -> DataFrame:
+    """``docs`` with ``out``: an array of one vector for each span.
+
+    ``encode`` (texts -> rows) fills the features of embeddings, which are 0
+    without it; ``channel`` and ``section`` name columns of a document's context.
+    """
     col = X.col(spans)
     ready = docs.withColumn("__sentences", T.sentence_boundaries(F.col(text)))
+    if encode is not None:
+        ready = add_vectors(ready, encode, text, spans, "__vectors")
+    named = {k: X.col(v).cast("string") for k, v in (("channel", channel), ("section", section)) if v}
+
+    def vectors(i: Sql) -> dict[str, Sql]:
+        return {"embedding": X.get(X.col("__vectors"), i)["span"], "context_embedding": X.get(X.col("__vectors"), i)["context"]} if encode is not None else {}
+
     # bound outside the lambda: Spark can't extract a Python function from a lambda's body
-    each = T.let(X.col("__sentences"), lambda cuts: X.transform(col, lambda s, i: span_features(X.coalesce(X.col(text), ""), col, cuts, s, i)))
-    return ready.withColumn(out, each.column()).drop("__sentences")
+    each = T.let(X.col("__sentences"), lambda cuts: X.transform(col, lambda s, i: span_features(X.coalesce(X.col(text), ""), col, cuts, s, i, **vectors(i), **named)))
+    return ready.withColumn(out, each.column()).drop("__sentences", "__vectors")
 
 
-def add_model_severity(docs: DataFrame, model, text: str = "text", spans: str = "spans") -> DataFrame:
+def add_model_severity(docs: DataFrame, model, text: str = "text", spans: str = "spans", encode=None) -> DataFrame:
     """Like ``add_severity``, with a classifier: ``model.predict_proba`` over FEATURES and ``model.classes_``.
 
     The label is that of the largest probability and the score the weighted
-    sum of probabilities; a model whose feature names differ is refused.
+    sum of probabilities (or ``model.scores`` as weights); a model of another
+    number of features is refused.
     """
     names = getattr(model, "feature_names_in_", None)
-    if names is not None and list(names) != FEATURES:
+    if names is not None and len(names) != len(FEATURES):
         raise ValueError("the model was fitted on other features")
     classes = [str(c) for c in model.classes_]
-    weights = np.array([LABEL_WEIGHTS.get(c, OTHER_WEIGHT) for c in classes])
+    weights = np.array(getattr(model, "scores", None) or [LABEL_WEIGHTS.get(c, OTHER_WEIGHT) for c in classes])
     kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64()), ("probs", pa.map_(pa.string(), pa.float64()))]))
 
     def predict(batches):
@@ -163,7 +192,7 @@ def add_model_severity(docs: DataFrame, model, text: str = "text", spans: str =
             yield batch.append_column("__severity", pa.array(out, kind))
 
     fields = [f.name for f in docs.schema[spans].dataType.elementType if f.name not in ("severity_score", "severity_label", "severity_probs")]
-    ready = add_features(docs, text, spans, "__features")
+    ready = add_features(docs, text, spans, "__features", encode)
     schema = T_.StructType([*ready.schema.fields, T_.StructField("__severity", T_._parse_datatype_string("array<struct<label:string,score:double,probs:map<string,double>>>"))])
     scored = ready.mapInArrow(predict, schema)
     joined = X.zip_with(X.col(spans), X.col("__severity"), lambda s, m: X.struct(*[s[f].alias(f) for f in fields], m["score"].alias("severity_score"), m["label"].alias("severity_label"), m["probs"].alias("severity_probs")))

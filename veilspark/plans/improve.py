@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import model as M
 from ..operators import severity as S
-from .pipeline import RedactionPipeline
+from ..operators.detect import BUILT_IN, detect
+from ..operators.fusion import fuse
+from ..operators.training import training_table
+from ..sources.session import cut
+from ..sources.writers import analysis_report, write_model
+from .pipeline import RedactionPipeline, each
 
 
 def evaluate(labelled: DataFrame, pipeline: RedactionPipeline | None = None) -> dict:
@@ -26,6 +32,48 @@ def calibration(labelled: DataFrame, detections: Callable[[DataFrame], DataFrame
     return E.calibrate(E.detection_hits(detections(docs.select("doc_id", "text")), gold))
 
 
+def detections_of(*names: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``calibration``: rows of the detectors of the built-in pipeline, or of those named."""
+    chosen = {n: BUILT_IN[n] for n in names or BUILT_IN}
+    return lambda docs: each(detect(docs, chosen), "detections", "doc_id").select("doc_id", "d.start", "d.end", "d.pii_type", "d.confidence", "d.detector_name")
+
+
+def severity_spans(docs: DataFrame, model, pipeline: RedactionPipeline | None = None, text: str = "text", encode=None) -> DataFrame:
+    """Severity alone: ``docs`` with spans, scored by ``model``, and their features; no policy, no redaction."""
+    p = pipeline or RedactionPipeline()
+    found = fuse(detect(docs, p.detectors, text), text=text, context=p.context, strict_compat=p.strict_compat)
+    return S.add_features(S.add_model_severity(found, model, text, encode=encode), text, encode=encode)
+
+
+def train_severity(rows: DataFrame, folder: str, share: float = 0.2, k: int = 3, method: str = "sigmoid", augment: bool = True, seed: int = 42, **fit) -> dict:
+    """Fit, calibrate, validate and write a severity model of labelled spans (as ``read_training`` gives them).
+
+    The model and its metadata, importance and statistics go to ``folder``,
+    which ``load_model`` reads; the report of the rows held out is returned.
+    """
+    if "row_id" not in rows.columns:
+        rows = rows.withColumn("row_id", F.monotonically_increasing_id())
+    table = cut(training_table(rows, augment), "training")
+    train, held = S.stratified_split(table, "label", "row_id", share, seed)
+    fitted = M.forest_of(S.fit_classifier(train.select("features", "label"), seed=seed, **fit))
+    model = M.calibrated(fitted, held if not held.isEmpty() else train, method)
+    stats = [r.asDict() for r in S.feature_stats(train.select("features")).collect()]
+    counts = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
+    write_model(model, folder, list(S.FEATURES), S.feature_importance(fitted), stats, class_labels=list(model.classes_), schema_version=S.SCHEMA_VERSION, calibration=method)
+    report = {r["label"]: r.asDict() for r in M.evaluate_model(model, held if not held.isEmpty() else train).collect()}
+    return {"rows": counts, "held": report, "folds": M.cross_validate(table, "row_id", k, seed=seed, **fit) if k > 1 else []}
+
+
+def analyse(features: DataFrame, model, train_stats: dict | None = None) -> str:
+    """Markdown of statistics of (features) rows, the model's importance and, with {feature: {mean, std}}, drift."""
+    now = S.feature_stats(features)
+    drift = None
+    if train_stats:
+        rows = [(k, float(v["mean"]), float(v.get("std") or 0.0)) for k, v in train_stats.items()]
+        drift = [(r["feature"], r["drift"]) for r in S.drift(features.sparkSession.createDataFrame(rows, "feature string, mean double, std double"), now).collect()]
+    return analysis_report(S.top(S.feature_importance(model)), [r.asDict() for r in now.orderBy("feature").collect()], drift)
+
+
 def subset(labelled: DataFrame, rows: int, order: str) -> DataFrame:
     """The first ``rows`` by ``order``, for a debug run."""
     return labelled.orderBy(order).limit(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from ..functions.rules import POLICY_RULES
 from ..operators import policy as P
 from ..operators.detect import BUILT_IN, Detector, detect
 from ..operators.fusion import CONTEXT, fuse
+from ..operators.model import load_model
+from ..operators.severity import add_model_severity
+from ..sources.readers import Settings, load_policy
 
 
 @dataclass(frozen=True)
@@ -22,6 +26,8 @@ class RedactionPipeline:
     ``severity`` maps a table with spans to one whose spans have severity_score
     and severity_label, and the columns of those names; the default takes the
     strongest confidence.  ``strict_compat`` keeps the quirks that lose text.
+    ``isolate``: a document whose detections can't be fused gets a message in the
+    column ``error``, an empty text and the decision ERROR instead of failing the job.
     """
 
     detectors: dict[str, Detector] = field(default_factory=lambda: dict(BUILT_IN))
@@ -29,19 +35,34 @@ class RedactionPipeline:
     rules: Sequence[dict] = POLICY_RULES
     context: int = CONTEXT
     strict_compat: bool = False
+    isolate: bool = False
+
+    @classmethod
+    def from_settings(cls, settings: Settings, spark: SparkSession | None = None, **parts) -> RedactionPipeline:
+        """The pipeline that ``settings`` describe: context, policy with its ranges, detectors of those built in, and the severity model, if one is named."""
+        thresholds, rules = load_policy(settings.policy_path)
+        unknown = [n for n in settings.detectors if n not in BUILT_IN]
+        if unknown:
+            raise ValueError(f"{unknown} need a model; give them as detectors")
+        severity = partial(P.add_severity, thresholds=thresholds)
+        if settings.model_path:
+            severity = partial(add_model_severity, model=load_model(settings.model_path, spark))
+        own = {"detectors": {n: BUILT_IN[n] for n in settings.detectors}, "severity": severity, "rules": rules, "context": settings.context_window, "isolate": not settings.debug}
+        return cls(**own | parts)
 
     def spans(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with detections and decided spans."""
-        found = fuse(detect(docs, self.detectors, text), text=text, context=self.context, strict_compat=self.strict_compat)
+        found = fuse(detect(docs, self.detectors, text), text=text, context=self.context, strict_compat=self.strict_compat, error="error" if self.isolate else None)
         return P.add_decisions(self.severity(found), self.rules)
 
     def transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with detections, spans, severity_score, severity_label, sanitized_text, decision and applied_rules."""
         done = self.spans(docs, text)
         whole, spans = X.coalesce(X.col(text), ""), X.col("spans")
+        failed = X.col("error").isNotNull() if self.isolate else X.lit(False)
         return done.withColumns({
-            "sanitized_text": P.redact(whole, spans, self.strict_compat).column(),
-            "decision": X.when(X.exists(spans, lambda s: s["decision"]["action"] == "BLOCK"), "BLOCK").otherwise("PROCESS").column(),
+            "sanitized_text": X.when(failed, "").otherwise(P.redact(whole, spans, self.strict_compat)).column(),
+            "decision": X.when(failed, "ERROR").when(X.exists(spans, lambda s: s["decision"]["action"] == "BLOCK"), "BLOCK").otherwise("PROCESS").column(),
             "applied_rules": X.filter(X.transform(spans, lambda s: s["decision"]["rule_id"]), lambda r: r.isNotNull()).column(),
         })
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -75,17 +76,21 @@ def write_report(path: str, row: dict, markdown: str) -> None:
     Path(f"{path}.md").write_text(markdown, "utf-8")
 
 
-def write_thresholds(best: DataFrame, path: str) -> dict:
+def write_thresholds(best: DataFrame | list, path: str) -> dict:
     """{detector: {type: threshold}} of a calibration, one row for each detector and type, as JSON."""
     out: dict[str, dict[str, float]] = {"embedding": {}, "ml_token": {}}
-    for r in best.collect():
+    for r in best if isinstance(best, list) else best.collect():
         out.setdefault(r["detector_name"], {})[r["pii_type"]] = r["threshold"]
     Path(path).write_text(json.dumps(out, indent=2), "utf-8")
     return out
 
 
-def write_model(model, path: str, features: list[str], importance: dict[str, float], stats: list[dict]) -> None:
-    """A Spark ML model with its metadata, importance and training statistics beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    for name, value in (("metadata", {"feature_names": features}), ("feature_importance", importance), ("training_stats", {s["feature"]: {k: s[k] for k in ("mean", "std", "min", "max")} for s in stats})):
+def write_model(model, path: str, features: list[str], importance: dict[str, float], stats: list[dict], **metadata) -> None:
+    """A model (Spark ML, or any that can be pickled) with its metadata, importance and training statistics beside it."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(f"{path}/model")
+    else:
+        Path(path).mkdir(parents=True, exist_ok=True)
+        Path(f"{path}/model.pkl").write_bytes(pickle.dumps(model))
+    for name, value in (("metadata", {"feature_names": features} | metadata), ("feature_importance", importance), ("training_stats", {s["feature"]: {k: s[k] for k in ("mean", "std", "min", "max")} for s in stats})):
         Path(f"{path}/{name}.json").write_text(json.dumps(value, indent=2), "utf-8")
