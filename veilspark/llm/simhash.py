@@ -14,8 +14,10 @@ signatures of a node are compared.  A pair at RADIUS is in the same node of a
 depth with the probability ``share``; of every signature the nodes that it was
 in thus give the recall reached.  Signatures whose recall is below RECALL climb:
 they go through another round of tries whose nodes may be twice as large, so
-that prefixes get shorter, until they reach it; what hasn't after ROUNDS rounds
-is compared block with block, exactly.  So where nothing is dense, one round of
+that prefixes get shorter, until they reach it.  After ROUNDS rounds nodes grow
+no more; what hasn't reached it then is compared block with block, exactly, or,
+where so much is left that this would cost more, after further rounds, at most
+four times ROUNDS in all.  So where nothing is dense, one round of
 TRIES is all, whatever the size of the table; the number of copies of a
 signature that are shuffled grows only in dense regions.  Every candidate is
 verified on all BITS bits.
@@ -281,8 +283,10 @@ def edges(nodes: DataFrame, radius: int = RADIUS, recall: float = RECALL, tries:
     """(a, b) pairs of (node, sig) rows within ``radius`` found by the forest, a < b; they connect every pair that it finds."""
     rows, out, first = nodes.select("node", "sig", F.lit(0.0).alias("miss")), None, 0
     count = rows.count()
-    while count and first < rounds * tries:
-        room = bound << (first // tries)
+    # after the last doubling, rounds go on at that size while they cost less than comparing all that is left
+    most = bound << max(rounds - 1, 0)
+    while count and first < (rounds if count <= tries * most else 4 * rounds) * tries:
+        room = min(bound << (first // tries), most)
         now = range(first, min(first + max(1, min(tries, LISTED * room // count)), (first // tries + 1) * tries))
         dense = dense_nodes(rows, now, room)
         found = cut(search(rows, now, dense, count, radius), "edges")
