@@ -2,9 +2,7 @@
 
 A scan rule is (before, payload, after): three regular expressions that match in
 a row, of which the middle one is the span.  All are case-insensitive and
-Unicode-aware.  ``need`` lists lower-case literals of which a text without
-relatives of ASCII letters and digits must hold at least one for the rule to
-match at all; it only saves work.
+Unicode-aware.
 """
 
 from __future__ import annotations
@@ -23,9 +21,6 @@ class ScanRule:
     validator: str | None = None
     keywords: tuple[str, ...] = ()
     priority: int = 100
-    need: tuple[str, ...] = ()
-    #: Whether a match holds six digits with nothing but white space, hyphens and brackets between them.
-    six_digits: bool = False
 
 
 @dataclass(frozen=True)
@@ -50,7 +45,6 @@ def _w(text: str) -> tuple[str, ...]:
 _CARD = _w("amex|card|cc|credit|debit|maestro|mastercard|pan|visa")
 _PLATE = r"[a-z]\d{2}\s?[a-z0-9]{4}"
 _PHONE = r"\+?\d[\d\-\s()]{%d,}\d"
-_DIGITS = tuple("0123456789")
 
 
 def _grouped(*sizes: int) -> str:
@@ -58,56 +52,56 @@ def _grouped(*sizes: int) -> str:
 
 
 SCAN_RULES: tuple[ScanRule, ...] = tuple(sorted((
-    ScanRule("connection_string_secret", "CREDENTIAL", 0.93, r"[a-z][\-+.a-z0-9]*://[^\s@:]+:[^\s@]+@[^\n\r\t ]+", after="", priority=4, need=("://",)),
-    ScanRule("card_number_grouped", "CARD_NUMBER", 0.95, f"{_grouped(4, 4, 4, 4)}|{_grouped(4, 6, 5)}", priority=5, six_digits=True),
-    ScanRule("email_standard", "EMAIL", 0.9, r"[-+%_.a-z0-9]+@[-.a-z0-9]+\.[a-z]{2,24}", validator="email_safe", priority=5, need=("@",)),
-    ScanRule("gb_iban", "IBAN", 0.95, r"gb\d{2}[a-z]{4}[a-z0-9]{14}", validator="gb_iban", priority=5, need=("gb",)),
-    ScanRule("nhs_number", "NHS_NUMBER", 0.9, r"\s?".join((r"\d{3}", r"\d{3}", r"\d{4}")), validator="nhs_number", priority=5, six_digits=True),
-    ScanRule("nino", "NI_NUMBER", 0.9, r"[a-ceghj-pr-tw-zq]{2}" + r"\s?\d{2}" * 3 + r"\s?[a-d]", validator="nino", priority=5, six_digits=True),
-    ScanRule("credential_env_value", "CREDENTIAL", 0.93, r"""[^'"]{6,}""", before=r"""\b[_a-z0-9]{3,32}\s*=\s*['"]""", after="""['"]""", priority=6, need=("=",)),
-    ScanRule("gb_iban_spaced", "IBAN", 0.9, r"gb\d{2}\s?[a-z]{4}" + r"\s?\d{2}" * 7, validator="gb_iban", priority=6, need=("gb",), six_digits=True),
-    ScanRule("secret_assignment", "CREDENTIAL", 0.9, r"""[^'"\s]{6,}""", before=r"""\b(?:token|secret|pwd|passcode|password|jwt[-_]?secret|api[-_]?key)\s*[=:]\s*['"]?""", after="""['"]?""", validator="password", priority=8, need=_w("token|secret|pwd|passcode|password|key")),
-    ScanRule("account_number_keyworded", "BANK_ACCOUNT", 0.92, r"\d{8}", before=r"\b(?:acct|account|a/c)\s*(?:no\.?|number)?\s*(?:is\s*)?[-:]?\s*", validator="account_number", priority=10, need=_w("acct|account|a/c"), six_digits=True),
+    ScanRule("connection_string_secret", "CREDENTIAL", 0.93, r"[a-z][\-+.a-z0-9]*://[^\s@:]+:[^\s@]+@[^\n\r\t ]+", after="", priority=4),
+    ScanRule("card_number_grouped", "CARD_NUMBER", 0.95, f"{_grouped(4, 4, 4, 4)}|{_grouped(4, 6, 5)}", priority=5),
+    ScanRule("email_standard", "EMAIL", 0.9, r"[-+%_.a-z0-9]+@[-.a-z0-9]+\.[a-z]{2,24}", validator="email_safe", priority=5),
+    ScanRule("gb_iban", "IBAN", 0.95, r"gb\d{2}[a-z]{4}[a-z0-9]{14}", validator="gb_iban", priority=5),
+    ScanRule("nhs_number", "NHS_NUMBER", 0.9, r"\s?".join((r"\d{3}", r"\d{3}", r"\d{4}")), validator="nhs_number", priority=5),
+    ScanRule("nino", "NI_NUMBER", 0.9, r"[a-ceghj-pr-tw-zq]{2}" + r"\s?\d{2}" * 3 + r"\s?[a-d]", validator="nino", priority=5),
+    ScanRule("credential_env_value", "CREDENTIAL", 0.93, r"""[^'"]{6,}""", before=r"""\b[_a-z0-9]{3,32}\s*=\s*['"]""", after="""['"]""", priority=6),
+    ScanRule("gb_iban_spaced", "IBAN", 0.9, r"gb\d{2}\s?[a-z]{4}" + r"\s?\d{2}" * 7, validator="gb_iban", priority=6),
+    ScanRule("secret_assignment", "CREDENTIAL", 0.9, r"""[^'"\s]{6,}""", before=r"""\b(?:token|secret|pwd|passcode|password|jwt[-_]?secret|api[-_]?key)\s*[=:]\s*['"]?""", after="""['"]?""", validator="password", priority=8),
+    ScanRule("account_number_keyworded", "BANK_ACCOUNT", 0.92, r"\d{8}", before=r"\b(?:acct|account|a/c)\s*(?:no\.?|number)?\s*(?:is\s*)?[-:]?\s*", validator="account_number", priority=10),
     ScanRule("ip_v4", "IP_ADDRESS", 0.9, r"\.".join([r"\d{1,3}"] * 4), validator="ipv4", priority=10),
-    ScanRule("sort_code_keyworded", "SORT_CODE", 0.95, r"\d{2}[ -]?\d{2}[ -]?\d{2}", before=r"\bsort\s*code\s*(?:is|[-:])?\s*", validator="sort_code", priority=10, need=("sort",), six_digits=True),
-    ScanRule("api_key_stripe_like", "API_KEY", 0.92, r"sk_(?:test|live)_[a-z0-9]{10,}", priority=12, need=("sk_",)),
-    ScanRule("full_name_json", "PERSON", 0.9, r'[^"]+', before=r'"full_name"\s*:\s*"', after='"', priority=12, need=("full_name",)),
-    ScanRule("ip_v6", "IPV6_ADDRESS", 0.86, r"[a-f0-9]{0,4}(?::[a-f0-9]{0,4}){2,7}", validator="ipv6", priority=15, need=(":",)),
-    ScanRule("sort_code_compact_keyworded", "SORT_CODE", 0.9, r"\d{6}", before=r"\bsort\s*code\s*(?:is|[-:])?\s*", validator="sort_code", priority=15, need=("sort",), six_digits=True),
-    ScanRule("de_tax_id", "GOV_ID", 0.9, r"[ 0-9]{11,}", before=r"\b(?:steuer[ -]?id|tax\s*id)[-:]?\s*", priority=16, need=_w("steuer|tax")),
-    ScanRule("api_key_env_style", "API_KEY", 0.86, r"[-_a-z0-9]{8,}", before=r'\b[_a-z0-9]*?(?:ACCESS_KEY|API_KEY|PASSWORD|SECRET|TOKEN)\s*=\s*"?', after='"?', priority=18, need=_w("access_key|api_key|password|secret|token")),
-    ScanRule("phone_international", "PHONE", 0.86, _PHONE % 9, before=r"(?<!\w)", after="", validator="phone_len", priority=18, six_digits=True),
-    ScanRule("postcode_keyvalue", "POSTCODE", 0.9, _PLATE, before=r'\b(?:billing_|shipping_)?postcode\s*=\s*"?', after='"?', priority=19, need=("postcode",)),
-    ScanRule("api_key_prefixed", "API_KEY", 0.88, r"api-[a-z0-9]{12,64}", priority=20, need=("api-",)),
-    ScanRule("card_number_contiguous", "CARD_NUMBER", 0.75, r"[2-6]\d{12,18}", validator="card_luhn", keywords=_CARD, priority=20, six_digits=True),
-    ScanRule("driving_license_keyworded", "DRIVING_LICENSE", 0.82, r"[a-z]{5}\d{6}[a-z]{2}\d[a-z]{2}", validator="driving_license", keywords=_w("driver|licence|license"), priority=20, six_digits=True),
-    ScanRule("mac_address", "MAC_ADDRESS", 0.88, ":".join(["[a-f0-9]{2}"] * 6), validator="mac_address", priority=20, need=(":",)),
-    ScanRule("postcode_uk", "POSTCODE", 0.86, r"[a-z]{1,2}\d[a-z\d]?\s?\d[abd-hjln-uw-z]{2}", validator="postcode", priority=20, need=_DIGITS),
-    ScanRule("postcode_ie", "POSTCODE", 0.86, _PLATE, priority=21, need=_DIGITS),
-    ScanRule("card_number_keyworded_generic", "CARD_NUMBER", 0.7, r"(?:\d[ -]?){12,18}\d", validator="card_luhn", keywords=_CARD, priority=25, six_digits=True),
-    ScanRule("credential_prefixed", "CREDENTIAL", 0.86, r"cred-[a-z0-9]{6,40}", priority=25, need=("cred-",)),
-    ScanRule("phone_keyworded", "PHONE", 0.82, _PHONE % 8, before=r"(?<!\w)", validator="phone_len", keywords=_w("call|mobile|number|phone|tel|telephone"), priority=25, six_digits=True),
-    ScanRule("passport_alphanum_keyworded", "PASSPORT_NUMBER", 0.84, r"[a-z]{1,2}\d{7,9}", validator="passport", keywords=("passport",), priority=28, six_digits=True),
+    ScanRule("sort_code_keyworded", "SORT_CODE", 0.95, r"\d{2}[ -]?\d{2}[ -]?\d{2}", before=r"\bsort\s*code\s*(?:is|[-:])?\s*", validator="sort_code", priority=10),
+    ScanRule("api_key_stripe_like", "API_KEY", 0.92, r"sk_(?:test|live)_[a-z0-9]{10,}", priority=12),
+    ScanRule("full_name_json", "PERSON", 0.9, r'[^"]+', before=r'"full_name"\s*:\s*"', after='"', priority=12),
+    ScanRule("ip_v6", "IPV6_ADDRESS", 0.86, r"[a-f0-9]{0,4}(?::[a-f0-9]{0,4}){2,7}", validator="ipv6", priority=15),
+    ScanRule("sort_code_compact_keyworded", "SORT_CODE", 0.9, r"\d{6}", before=r"\bsort\s*code\s*(?:is|[-:])?\s*", validator="sort_code", priority=15),
+    ScanRule("de_tax_id", "GOV_ID", 0.9, r"[ 0-9]{11,}", before=r"\b(?:steuer[ -]?id|tax\s*id)[-:]?\s*", priority=16),
+    ScanRule("api_key_env_style", "API_KEY", 0.86, r"[-_a-z0-9]{8,}", before=r'\b[_a-z0-9]*?(?:ACCESS_KEY|API_KEY|PASSWORD|SECRET|TOKEN)\s*=\s*"?', after='"?', priority=18),
+    ScanRule("phone_international", "PHONE", 0.86, _PHONE % 9, before=r"(?<!\w)", after="", validator="phone_len", priority=18),
+    ScanRule("postcode_keyvalue", "POSTCODE", 0.9, _PLATE, before=r'\b(?:billing_|shipping_)?postcode\s*=\s*"?', after='"?', priority=19),
+    ScanRule("api_key_prefixed", "API_KEY", 0.88, r"api-[a-z0-9]{12,64}", priority=20),
+    ScanRule("card_number_contiguous", "CARD_NUMBER", 0.75, r"[2-6]\d{12,18}", validator="card_luhn", keywords=_CARD, priority=20),
+    ScanRule("driving_license_keyworded", "DRIVING_LICENSE", 0.82, r"[a-z]{5}\d{6}[a-z]{2}\d[a-z]{2}", validator="driving_license", keywords=_w("driver|licence|license"), priority=20),
+    ScanRule("mac_address", "MAC_ADDRESS", 0.88, ":".join(["[a-f0-9]{2}"] * 6), validator="mac_address", priority=20),
+    ScanRule("postcode_uk", "POSTCODE", 0.86, r"[a-z]{1,2}\d[a-z\d]?\s?\d[abd-hjln-uw-z]{2}", validator="postcode", priority=20),
+    ScanRule("postcode_ie", "POSTCODE", 0.86, _PLATE, priority=21),
+    ScanRule("card_number_keyworded_generic", "CARD_NUMBER", 0.7, r"(?:\d[ -]?){12,18}\d", validator="card_luhn", keywords=_CARD, priority=25),
+    ScanRule("credential_prefixed", "CREDENTIAL", 0.86, r"cred-[a-z0-9]{6,40}", priority=25),
+    ScanRule("phone_keyworded", "PHONE", 0.82, _PHONE % 8, before=r"(?<!\w)", validator="phone_len", keywords=_w("call|mobile|number|phone|tel|telephone"), priority=25),
+    ScanRule("passport_alphanum_keyworded", "PASSPORT_NUMBER", 0.84, r"[a-z]{1,2}\d{7,9}", validator="passport", keywords=("passport",), priority=28),
     ScanRule("building_society_roll", "CUSTOMER_ID", 0.9, r"[a-z0-9][-/.a-z0-9]{5,18}[a-z0-9]", before=r"\broll\s*(?:no|number)?[-:]?\s*", validator="roll_number", keywords=("roll",), priority=30),
-    ScanRule("device_id_prefixed", "DEVICE_ID", 0.85, r"dev-[a-f0-9]{10,32}", priority=30, need=("dev-",)),
-    ScanRule("driving_license_alt", "DRIVING_LICENSE", 0.8, r"\d{9,12}", before=r"\bdl[\s-]?", priority=30, need=("dl",), six_digits=True),
-    ScanRule("gps_coordinates", "GEO_COORDINATES", 0.8, r"-?\d{1,2}\.\d{4,},\s*-?\d{1,3}\.\d{4,}", validator="gps", priority=30, need=(".",)),
-    ScanRule("passport_keyworded", "PASSPORT_NUMBER", 0.82, r"\d{9}", validator="passport", keywords=_w("passport|passport_number|passportno|pp#"), priority=30, six_digits=True),
-    ScanRule("password_keyworded", "PASSWORD", 0.82, r"[*&^%$#@!a-z0-9]{6,64}", before=r"\b(?:pwd|passcode|password)[=:]?\s*", validator="password", priority=30, need=_w("pwd|passcode|password")),
+    ScanRule("device_id_prefixed", "DEVICE_ID", 0.85, r"dev-[a-f0-9]{10,32}", priority=30),
+    ScanRule("driving_license_alt", "DRIVING_LICENSE", 0.8, r"\d{9,12}", before=r"\bdl[\s-]?", priority=30),
+    ScanRule("gps_coordinates", "GEO_COORDINATES", 0.8, r"-?\d{1,2}\.\d{4,},\s*-?\d{1,3}\.\d{4,}", validator="gps", priority=30),
+    ScanRule("passport_keyworded", "PASSPORT_NUMBER", 0.82, r"\d{9}", validator="passport", keywords=_w("passport|passport_number|passportno|pp#"), priority=30),
+    ScanRule("password_keyworded", "PASSWORD", 0.82, r"[*&^%$#@!a-z0-9]{6,64}", before=r"\b(?:pwd|passcode|password)[=:]?\s*", validator="password", priority=30),
     ScanRule("pin_keyworded", "PIN", 0.8, r"\d{4,6}", before=r"\bpin[=:]?\s*", validator="pin", keywords=("pin",), priority=30),
-    ScanRule("url_basic", "URL", 0.75, r"""https?://[^'"<>\s]+""", validator="url", priority=30, need=("://",)),
-    ScanRule("health_condition_terms", "MEDICAL_INFO", 0.88, r"anxiety|(?:chronic\s+)?(?:asthma|migraine)|depression|mental\s+health|panic\s+attack", priority=35, need=_w("anxiety|asthma|migraine|depression|mental|panic")),
-    ScanRule("address_uk_simple", "ADDRESS", 0.8, r"\d{1,4}\s+[a-z]{2,}(?:\s+(?:Avenue|Ave|Close|Cl|Lane|Ln|Road|Rd\.?|Street|St\.?))", keywords=_w("address|billing|deliver|send|ship|to"), priority=40, need=_w("ave|cl|lane|ln|road|rd|st")),
-    ScanRule("money_currency", "MONEY", 0.8, r"[$£€]\s?\d{1,6}(?:[,.]\d{2})?", before="", validator="money", priority=40, need=("$", "£", "€")),
-    ScanRule("student_id_prefixed", "STUDENT_ID", 0.82, r"sid\d{3,12}", priority=40, need=("sid",)),
-    ScanRule("address_apartment", "ADDRESS", 0.8, r"(?:Apartment|Apt\.?|Flat|Wohnung)\s+\d+", priority=42, need=_w("apartment|apt|flat|wohnung")),
-    ScanRule("date_dob_kv_iso", "DATE", 0.85, "-".join((r"\d{4}", r"\d{2}", r"\d{2}")), before=r'\b(?:date[-_]of[-_]birth|dob)\s*[=:]\s*"?', after='"?', validator="date", priority=44, need=_w("birth|dob")),
-    ScanRule("address_postcode_city", "ADDRESS", 0.8, r"\d{4,5}\s+[a-z][a-z]+", priority=45, need=_DIGITS),
-    ScanRule("date_dob_keyword", "DATE", 0.8, r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", before=r"\b(?:date of birth|dob)[\s:]+", validator="date", priority=46, need=_w("birth|dob")),
+    ScanRule("url_basic", "URL", 0.75, r"""https?://[^'"<>\s]+""", validator="url", priority=30),
+    ScanRule("health_condition_terms", "MEDICAL_INFO", 0.88, r"anxiety|(?:chronic\s+)?(?:asthma|migraine)|depression|mental\s+health|panic\s+attack", priority=35),
+    ScanRule("address_uk_simple", "ADDRESS", 0.8, r"\d{1,4}\s+[a-z]{2,}(?:\s+(?:Avenue|Ave|Close|Cl|Lane|Ln|Road|Rd\.?|Street|St\.?))", keywords=_w("address|billing|deliver|send|ship|to"), priority=40),
+    ScanRule("money_currency", "MONEY", 0.8, r"[$£€]\s?\d{1,6}(?:[,.]\d{2})?", before="", validator="money", priority=40),
+    ScanRule("student_id_prefixed", "STUDENT_ID", 0.82, r"sid\d{3,12}", priority=40),
+    ScanRule("address_apartment", "ADDRESS", 0.8, r"(?:Apartment|Apt\.?|Flat|Wohnung)\s+\d+", priority=42),
+    ScanRule("date_dob_kv_iso", "DATE", 0.85, "-".join((r"\d{4}", r"\d{2}", r"\d{2}")), before=r'\b(?:date[-_]of[-_]birth|dob)\s*[=:]\s*"?', after='"?', validator="date", priority=44),
+    ScanRule("address_postcode_city", "ADDRESS", 0.8, r"\d{4,5}\s+[a-z][a-z]+", priority=45),
+    ScanRule("date_dob_keyword", "DATE", 0.8, r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", before=r"\b(?:date of birth|dob)[\s:]+", validator="date", priority=46),
     ScanRule("date_iso", "DATE", 0.72, r"\d{4}[-/]\d{2}[-/]\d{2}", validator="date", keywords=_w("birth|date of birth|dob|dob:|dob="), priority=48),
-    ScanRule("customer_id_prefixed", "CUSTOMER_ID", 0.8, r"cust-?\d{4,12}", priority=50, need=("cust",)),
+    ScanRule("customer_id_prefixed", "CUSTOMER_ID", 0.8, r"cust-?\d{4,12}", priority=50),
     ScanRule("date_simple", "DATE", 0.7, r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", validator="date", keywords=_w("birth|date|dob|due|event|on"), priority=50),
-    ScanRule("loyalty_id_prefixed", "CUSTOMER_ID", 0.8, r"loy-\d{4}-\d{4}", priority=52, need=("loy-",)),
+    ScanRule("loyalty_id_prefixed", "CUSTOMER_ID", 0.8, r"loy-\d{4}-\d{4}", priority=52),
 ), key=lambda r: (r.priority, r.id)))
 
 _ND, _NW = r"(?<!\d)", r"(?<!\w)"

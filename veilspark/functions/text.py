@@ -25,7 +25,8 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
 
 def unmarked(text: Sql) -> Sql:
     """``text`` of the same length without the two marks, null as empty."""
-    return X.translate(X.coalesce(text, X.lit("")), OPEN + CLOSE, "\ufffd\ufffd")
+    whole = X.coalesce(text, X.lit(""))
+    return X.when(whole.contains(OPEN) | whole.contains(CLOSE), X.translate(whole, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(whole)
 
 
 def piece(text: Sql, start: Sql, end: Sql) -> Sql:

@@ -14,12 +14,12 @@ def digits_of(text: Sql) -> Sql:
     return X.regexp_replace(text, r"(?U)\D", "")
 
 
-_OTHER_DIGITS = [chr(c) for c in range(128, 0x1FC00) if unicodedata.category(chr(c)) == "Nd"]
+OTHER_DIGITS = [chr(c) for c in range(128, 0x1FC00) if unicodedata.category(chr(c)) == "Nd"]
 
 
 def plain_digits(text: Sql) -> Sql:
     """``text`` with decimal digits of all scripts as ASCII ones."""
-    return X.when(X.octet_length(text) > X.length(text), X.translate(text, X.lit("".join(_OTHER_DIGITS)), X.lit("".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)))).otherwise(text)
+    return X.when(X.octet_length(text) > X.length(text), X.translate(text, X.lit("".join(OTHER_DIGITS)), X.lit("".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)))).otherwise(text)
 
 
 def card_luhn(text: Sql) -> Sql:

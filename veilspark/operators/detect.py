@@ -8,20 +8,23 @@ vectorized model.
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.expr import Sql, X
 from ..functions.rules import ALLOWED, BUSINESS_TERMS, BUSINESS_TYPES, DETECTORS, KEYWORD_RULES, SCAN_RULES, KeywordRule, ScanRule
-from ..functions.validators import VALIDATORS, always
+from ..functions.validators import OTHER_DIGITS, VALIDATORS, always
 
 DETECTION = "struct<start:int,end:int,pii_type:string,ord:int,text:string,confidence:double,detector_name:string,pattern_id:string>"
 DETECTIONS = f"array<{DETECTION}>"
@@ -82,16 +85,93 @@ def business_reference(lowered: Sql, span: Sql, pii_type: str, confidence: float
 # scan rules ------------------------------------------------------------------
 
 #: White space, digits and letters outside ASCII that the Unicode-aware rules take for ASCII ones.
-_WIDE = r"[\u017f\u212a\u0130\u0131\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\p{Nd}&&[^0-9]]"
+_WIDE = r"[\x{17f}\x{212a}\x{130}\x{131}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}" + "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_DIGITS) + "]"
+_TOKEN = re.compile(r"\\.|\(\?<!\\w\)|\(\?:|\(\?|\[\^?\]|&&|.", re.S)
 
 
-#: Six digits with what the rules allow between them; one pass rules out a third of the rules for most texts.
-_SIX = r"[0-9](?:[-\s()]*+[0-9]){5}"
+def relaxed(pattern: str, bounds: bool) -> str | None:
+    """An RE2 pattern found at least in each text without _WIDE characters that holds the Unicode-aware ``pattern``; None where RE2 may read it otherwise.
 
-
-def wide(text: Sql) -> Sql:
-    """Whether Unicode-aware rules may match ``text`` where their ASCII forms don't."""
-    return (X.octet_length(text) > X.length(text)) & text.rlike(_WIDE)
+    RE2 looks at a text in one pass that costs the same whatever the pattern.
+    It knows boundaries of ASCII words only, so ``bounds`` are for texts of ASCII.
+    """
+    out, inside = [], False
+    for t in _TOKEN.findall(pattern):
+        if t == r"\s":
+            t = r"\s\x0b" if inside else r"[\s\x0b]"
+        elif t == r"\b":
+            if inside:
+                return None
+            t = t if bounds else "(?:)"
+        elif t == r"(?<!\w)" and not inside:
+            t = "(?:)"
+        elif t[0] == "\\":
+            if t[1].isalnum() and t[1] not in "dnrt":
+                return None
+        elif t in ("[]", "[^]", "&&") or t == "[" and inside or t in ("$", "(?") and not inside:
+            return None
+        elif t == "[" or t == "]" and inside:
+            inside = t == "["
+        out.append(t)
+    found = "(?i)" + "".join(out)
+    try:
+        pc.match_substring_regex(pa.array([""]), found)
+    except pa.ArrowInvalid:
+        return None
+    return found
+
+
+_patterns: ContextVar[list[str]] = ContextVar("patterns")
+
+
+def gate(pattern: str) -> Sql:
+    """Whether the text that ``detect`` is at may hold ``pattern``."""
+    known = _patterns.get()
+    if pattern not in known:
+        known.append(pattern)
+    return X.array_contains(X.col("__gate")["may"], X.lit(known.index(pattern)))
+
+
+def wide() -> Sql:
+    """Whether Unicode-aware rules may match the text where their ASCII forms don't."""
+    return X.col("__gate")["wide"]
+
+
+def _rules(found: Sequence[Sql]) -> Sql:
+    """The union of what rules with gates found; a text that passes no gate is done after one look."""
+    return X.when(X.size(X.col("__gate")["may"]) > 0, X.flatten(X.array(*found))).otherwise(empty()) if found and _patterns.get() else empty()
+
+
+def gates(patterns: Sequence[str]) -> Callable:
+    """A function of texts: (wide, may), where may lists the indices of the patterns that a text may hold: all, if it is wide."""
+    forms = {ascii: [relaxed(p, ascii) for p in patterns] for ascii in (True, False)}
+    always = [k for k, p in enumerate(forms[True]) if p is None]
+
+    @F.arrow_udf("struct<wide:boolean,may:array<int>>")
+    def look(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        plain = pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+        wide = np.zeros(n, bool)
+        rest = np.flatnonzero(~plain)
+        wide[rest] = pc.match_substring_regex(texts.take(pa.array(rest)), _WIDE).to_numpy(zero_copy_only=False)
+        may = np.zeros((n, len(patterns)), bool)
+        may[wide] = True
+        may[:, always] = True
+        for ascii, at in ((True, np.flatnonzero(plain)), (False, np.flatnonzero(~plain & ~wide))):
+            own = [(k, p) for k, p in enumerate(forms[ascii]) if p is not None]
+            if not own or not len(at):
+                continue
+            some = texts.take(pa.array(at))
+            # most texts hold none
+            at = at[hit := pc.match_substring_regex(some, "|".join(f"(?:{p})" for _, p in own)).to_numpy(zero_copy_only=False)]
+            some = some.filter(pa.array(hit))
+            for k, p in own:
+                may[at, k] = pc.match_substring_regex(some, p).to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], may.sum(axis=1).cumsum()]).astype(np.int32), np.nonzero(may)[1].astype(np.int32))
+        return pa.StructArray.from_arrays([pa.array(wide), lists], ["wide", "may"])
+
+    # so that it stays in a step of its own: in one with a Python function of its results, Spark 4.1 leaves that function where it can't run
+    return look.asNondeterministic()
 
 
 def scan_rule(text: Sql, lowered: Sql, rule: ScanRule, order: int = 0, detector: str = "regex", gated: bool = False) -> Sql:
@@ -111,24 +191,18 @@ def scan_rule(text: Sql, lowered: Sql, rule: ScanRule, order: int = 0, detector:
 
     found = T.spans(text, rule.before, rule.payload, rule.after)
     out = X.transform(X.filter(found, lambda s: short_enough(s) & not_allowed(s) & keep(s)), lambda s: detection(s, rule.pii_type, rule.confidence, detector, rule.id, order))
-    # the ASCII form matches at least where the whole rule does, and is several times as fast
-    some = X.lit(True)
-    if gated:
-        some = text.rlike(f"(?i)(?:{rule.before})(?:{rule.payload})(?:{rule.after})")
-        some = (X.col("__six") & some if rule.six_digits else some) | X.col("__wide")
-    # letters and digits of a literal have relatives outside ASCII, so texts that hold such are looked at in any case
-    keywords = tuple(k.lower() for k in rule.keywords)
-    if gated and (rule.need or keywords):
-        some = (_any(lowered, rule.need or keywords) | X.col("__wide")) & some
-    elif keywords:
-        some = _any(lowered, keywords)
+    some = gate(f"(?:{rule.before})(?:{rule.payload})(?:{rule.after})") if gated else X.lit(True)
+    if rule.keywords:
+        # letters and digits of a literal have relatives outside ASCII, so texts that hold such are looked at in any case
+        held = _any(lowered, [k.lower() for k in rule.keywords])
+        some = some & (held | wide()) if gated else held
     return X.when(some, out).otherwise(empty())
 
 
 def scan(text: Sql, lowered: Sql, rules: Sequence[ScanRule] = SCAN_RULES, disabled: Sequence[str] = (), detector: str = "regex") -> Sql:
     """Detections of all ``rules`` but those ``disabled``, in (priority, id) order."""
     rules = sorted((r for r in rules if r.id not in disabled), key=lambda r: (r.priority, r.id))
-    return X.flatten(X.array(*[scan_rule(text, lowered, r, k, detector, True) for k, r in enumerate(rules)])) if rules else empty()
+    return _rules([scan_rule(text, lowered, r, k, detector, True) for k, r in enumerate(rules)])
 
 
 # keyword rules ---------------------------------------------------------------
@@ -138,8 +212,9 @@ def _quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in word)
 
 
-def keyword_rule(text: Sql, lowered: Sql, rule: KeywordRule, order: int = 0) -> Sql:
-    hits = T.spans(text, r"\b", "|".join(map(_quoted, rule.keywords)), r"\b")
+def keyword_rule(text: Sql, rule: KeywordRule, order: int = 0) -> Sql:
+    words = "|".join(map(_quoted, rule.keywords))
+    hits = T.spans(text, r"\b", words, r"\b")
     name = "domain_heuristic"
     if rule.number is not None:
         window = max(8, rule.window)
@@ -163,13 +238,13 @@ def keyword_rule(text: Sql, lowered: Sql, rule: KeywordRule, order: int = 0) ->
 
         found = X.filter(X.transform(hits, after), lambda s: X.length(s["text"]).between(MIN_SPAN, MAX_SPAN) & ~T.heading_like(s["text"]))
     out = X.transform(found, lambda s: detection(s, rule.pii_type, min(1.0, max(0.0, rule.score)), name, None, order))
-    return X.when(_any(lowered, [k.lower() for k in rule.keywords]) | X.col("__wide"), out).otherwise(empty())
+    return X.when(gate(rf"\b(?:{words})\b"), out).otherwise(empty())
 
 
 def keyword_scan(text: Sql, lowered: Sql, rules: Sequence[KeywordRule] = KEYWORD_RULES) -> Sql:
     """Detections of all rules with keywords, in (priority, id) order."""
     rules = sorted((r for r in rules if r.keywords), key=lambda r: (r.priority, r.id))
-    return X.flatten(X.array(*[keyword_rule(text, lowered, r, k) for k, r in enumerate(rules)])) if rules else empty()
+    return _rules([keyword_rule(text, r, k) for k, r in enumerate(rules)])
 
 
 # models ----------------------------------------------------------------------
@@ -325,7 +400,13 @@ def detect(docs: DataFrame, detectors: dict[str, Detector] | None = None, text:
     """``docs`` with ``out``: the ordered union of the detectors' results; null texts have none.  Narrow."""
     found = detectors if detectors is not None else BUILT_IN
     names = sorted(found, key=lambda n: DETECTORS.index(n) if n in DETECTORS else len(DETECTORS))
-    raw = docs.withColumn("__text", T.unmarked(X.col(text)).column())
-    raw = raw.withColumns({"__low": F.expr("lower(__text)"), "__wide": wide(X.col("__text")).column(), "__six": X.col("__text").rlike(_SIX).column()})
-    each = [first_of_each(X.coalesce(X.col(f), empty()) if isinstance(f := found[n], str) else f(X.col("__text"), X.col("__low"))) for n in names]
-    return raw.withColumn(out, (X.concat(*each) if each else empty()).column()).drop("__text", "__low", "__wide", "__six")
+    patterns: list[str] = []
+    token = _patterns.set(patterns)
+    try:
+        each = [first_of_each(X.coalesce(X.col(f), empty()) if isinstance(f := found[n], str) else f(X.col("__text"), X.col("__low"))) for n in names]
+    finally:
+        _patterns.reset(token)
+    raw = docs.withColumn("__text", T.unmarked(X.col(text)).column()).withColumn("__low", F.expr("lower(__text)"))
+    if patterns:
+        raw = raw.withColumn("__gate", gates(patterns)(F.col("__text")))
+    return raw.withColumn(out, (X.concat(*each) if each else empty()).column()).drop("__text", "__low", "__gate")
