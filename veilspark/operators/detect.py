@@ -121,6 +121,8 @@ def relaxed(pattern: str, bounds: bool) -> str | None:
     return found
 
 
+#: Rules that gates look for at once in the texts that hold any.
+GROUP = 8
 _patterns: ContextVar[list[str]] = ContextVar("patterns")
 
 
@@ -137,9 +139,19 @@ def wide() -> Sql:
     return X.col("__gate")["wide"]
 
 
+class Gated(Sql):
+    """Detections that don't read a text that passes no gate."""
+
+    __slots__ = ()
+
+
+def _passed() -> Sql:
+    return X.size(X.col("__gate")["may"]) > 0
+
+
 def _rules(found: Sequence[Sql]) -> Sql:
     """The union of what rules with gates found; a text that passes no gate is done after one look."""
-    return X.when(X.size(X.col("__gate")["may"]) > 0, X.flatten(X.array(*found))).otherwise(empty()) if found and _patterns.get() else empty()
+    return Gated((X.when(_passed(), X.flatten(X.array(*found))).otherwise(empty()) if found and _patterns.get() else empty()).sql)
 
 
 def gates(patterns: Sequence[str]) -> Callable:
@@ -147,6 +159,9 @@ def gates(patterns: Sequence[str]) -> Callable:
     forms = {ascii: [relaxed(p, ascii) for p in patterns] for ascii in (True, False)}
     always = [k for k, p in enumerate(forms[True]) if p is None]
 
+    def union(own: Sequence[tuple[int, str]]) -> str:
+        return "|".join(f"(?:{p})" for _, p in own)
+
     @F.arrow_udf("struct<wide:boolean,may:array<int>>")
     def look(texts: pa.Array) -> pa.Array:
         n = len(texts)
@@ -162,11 +177,15 @@ def gates(patterns: Sequence[str]) -> Callable:
             if not own or not len(at):
                 continue
             some = texts.take(pa.array(at))
-            # most texts hold none
-            at = at[hit := pc.match_substring_regex(some, "|".join(f"(?:{p})" for _, p in own)).to_numpy(zero_copy_only=False)]
-            some = some.filter(pa.array(hit))
-            for k, p in own:
-                may[at, k] = pc.match_substring_regex(some, p).to_numpy(zero_copy_only=False)
+            # most texts hold none, and the others none of most groups
+            for group in (own, *(own[i : i + GROUP] for i in range(0, len(own), GROUP))):
+                hit = pc.match_substring_regex(some, union(group))
+                held, left = at[hit.to_numpy(zero_copy_only=False)], some.filter(hit)
+                if group is own:
+                    at, some = held, left
+                    continue
+                for k, p in group:
+                    may[held, k] = pc.match_substring_regex(left, p).to_numpy(zero_copy_only=False)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], may.sum(axis=1).cumsum()]).astype(np.int32), np.nonzero(may)[1].astype(np.int32))
         return pa.StructArray.from_arrays([pa.array(wide), lists], ["wide", "may"])
 
@@ -403,10 +422,15 @@ def detect(docs: DataFrame, detectors: dict[str, Detector] | None = None, text:
     patterns: list[str] = []
     token = _patterns.set(patterns)
     try:
-        each = [first_of_each(X.coalesce(X.col(f), empty()) if isinstance(f := found[n], str) else f(X.col("__text"), X.col("__low"))) for n in names]
+        own = [X.coalesce(X.col(f), empty()) if isinstance(f := found[n], str) else f(X.col("__text"), X.col("__low")) for n in names]
     finally:
         _patterns.reset(token)
-    raw = docs.withColumn("__text", T.unmarked(X.col(text)).column()).withColumn("__low", F.expr("lower(__text)"))
+    each = [X.when(_passed(), first_of_each(d)).otherwise(empty()) if patterns and isinstance(d, Gated) else first_of_each(d) for d in own]
+    raw, whole = docs, T.unmarked(X.col(text))
     if patterns:
-        raw = raw.withColumn("__gate", gates(patterns)(F.col("__text")))
+        raw = raw.withColumn("__gate", gates(patterns)(whole.column()))
+        if all(isinstance(d, Gated) or isinstance(found[n], str) for n, d in zip(names, own)):
+            # copies of the texts that the detectors don't read would cost more than the look at them
+            whole = X.when(_passed(), whole).otherwise("")
+    raw = raw.withColumn("__text", whole.column()).withColumn("__low", F.expr("lower(__text)"))
     return raw.withColumn(out, (X.concat(*each) if each else empty()).column()).drop("__text", "__low", "__gate")
