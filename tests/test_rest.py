@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from veilspark.functions import text as T
 from veilspark.functions.expr import X
+from veilspark.operators import detect as D
 from veilspark.operators import evaluate as E
+from veilspark.operators import policy as P
 from veilspark.operators import severity as S
+from veilspark.operators.fusion import fuse
 from veilspark.plans.pipeline import run_pipeline
 from veilspark.plans.queries import QUERIES, SQL
 from veilspark.sources import readers as R
@@ -63,6 +66,37 @@ def test_sentences(spark):
         T.sentence_boundaries(F.col("t"), longest=0)
 
 
+def test_sentences_one_by_one():
+    """Delimiters, none, those special in patterns, and white space beyond the length."""
+
+    def plain(text, delimiters, longest):
+        out, start = [], 0
+        for i, c in enumerate(text):
+            if c in delimiters:
+                out.append((start, i + 1))
+                start = i + 1
+            elif i - start >= longest and c.isspace() and i > start:
+                out.append((start, i))
+                start = i
+        return out + [(start, len(text))] if start < len(text) else out or [(0, 0)]
+
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab .!\n\t\x1c\x85\u3000é]-^"), rng.integers(0, 40)))
+        for delimiters in (".!?\n", "", "]^-\\", " "):
+            assert all(T._sentences(text, delimiters, n) == plain(text, delimiters, n) for n in (1, 2, 5, 500)), text
+
+
+def test_features_read_texts_that_have_spans_only(spark, monkeypatch):
+    read, cut = [], T.sentence_boundaries
+    monkeypatch.setattr(T, "sentence_boundaries", lambda c: read.append(c) or cut(c))
+    df = spark.createDataFrame([(0, "One. Mail a@b.org"), (1, "Two. None"), (2, None)], "doc_id long, text string")
+    fused = P.add_severity(fuse(D.detect(df)))
+    got = S.add_features(fused).orderBy("doc_id").collect()
+    assert [r[0] for r in fused.orderBy("doc_id").select(read[0]).collect()] == ["One. Mail a@b.org", None, None]
+    assert [len(r.features) for r in got] == [1, 0, 0] and got[0].features[0][S.FEATURES.index("sentence_index")] == 1
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  (a-b),  ",)], "t string")
     t = X.col("t")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from .rules import TRIM
 #: Noncharacters that mark the two ends of a match while a text is being cut.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 SPAN = "array<struct<start:int,end:int,text:string>>"
+_SPACE = re.compile(r"\s")
 _SET = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in TRIM) + "]"
 
 
@@ -81,14 +83,15 @@ def _sentences(text: str | None, delimiters: str, longest: int) -> list[tuple[in
     if not text:
         return [(0, 0)]
     out, start = [], 0
-    for i, c in enumerate(text):
-        if c in delimiters:
-            out.append((start, i + 1))
-            start = i + 1
-        elif i - start >= longest and c.isspace() and i > start:
-            out.append((start, i))
-            start = i
-    return out + [(start, len(text))] if start < len(text) else out
+    ends = re.finditer(f"[{re.escape(delimiters)}]", text) if delimiters else ()
+    for end in [*(m.end() for m in ends), len(text) + 1]:
+        while space := _SPACE.search(text, start + longest, end - 1):
+            out.append((start, space.start()))
+            start = space.start()
+        if start < min(end, len(text)):
+            out.append((start, min(end, len(text))))
+        start = end
+    return out
 
 
 def sentence_boundaries(text: Column, delimiters: str = ".!?\n", longest: int = 500) -> Column:
@@ -132,8 +135,7 @@ def context_window(text: Sql, start: Sql, end: Sql, window: int = 10) -> Sql:
 
 
 def token_position_ratio(text: Sql, start: Sql) -> Sql:
-    n = X.size(tokens(text))
-    return X.when(n > 0, X.least(X.lit(1.0), X.size(tokens(piece(text, X.lit(0), start))) / n)).otherwise(0.0)
+    return let(X.size(tokens(text)), lambda n: X.when(n > 0, X.least(X.lit(1.0), X.size(tokens(piece(text, X.lit(0), start))) / n)).otherwise(0.0))
 
 
 def sentence_context(sentences: Sql, start: Sql) -> Sql:

@@ -156,7 +156,7 @@ def add_features(docs: DataFrame, text: str = "text", spans: str = "spans", out:
     without it; ``channel`` and ``section`` name columns of a document's context.
     """
     col = X.col(spans)
-    ready = docs.withColumn("__sentences", T.sentence_boundaries(F.col(text)))
+    ready = docs.withColumn("__sentences", T.sentence_boundaries(F.when(F.size(spans) > 0, F.col(text))))
     if encode is not None:
         ready = add_vectors(ready, encode, text, spans, "__vectors")
     named = {k: X.col(v).cast("string") for k, v in (("channel", channel), ("section", section)) if v}
